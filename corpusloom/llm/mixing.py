@@ -9,7 +9,8 @@ aggregation gathers; Newton then runs for all sources side by side.
 
 Rates become whole copies: floor(rate) each, and of the rest one more for some documents, taken
 in MD5 order of the key while their sizes fit what the source lacks. Documents that fit what is
-then still lacking get the next turn; a few turns leave a remainder far below one document.
+then still lacking get the next turn; a few turns leave a remainder far below one document. Where more
+than half of a source would get one more, all get it and those that go without are chosen likewise.
 Cumulative sizes are summed in 256 buckets of each source, so that a source that holds a third of
 all rows is many tasks.
 """
@@ -74,7 +75,10 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rates = source_targets(sized).withColumn("rate", newton_rate(F.col("source_size"), F.col("target")))
     # whole copies; what a source still lacks goes out as single further copies
     rates = rates.withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long"))
-    rates = materialize(rates.withColumn("lack", F.floor(F.col("target") - F.col("base") * F.col("source_size") + 1e-6).cast("long")), "rates")
+    rates = rates.withColumn("lack", F.floor(F.col("target") - F.col("base") * F.col("source_size") + 1e-6).cast("long"))
+    most = F.col("lack") * 2 > F.col("source_size")
+    rates = rates.select("source", "source_size", "target", "rate", (F.col("base") + F.when(most, 1).otherwise(0)).alias("base"), F.when(most, F.col("source_size") - F.col("lack")).otherwise(F.col("lack")).alias("lack"), F.when(most, -1).otherwise(1).alias("sign"))
+    rates = materialize(rates, "rates")
     rows = sized.withColumn("bucket", F.substring("h", 1, 2))
     first = rates.select(F.col("source").alias("s"), "lack")
     rows = rows.join(first, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("extra", F.lit(0))
@@ -93,9 +97,9 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = materialize(rows.drop("asked", "before", "through"), "turn")
             taken = rows.groupBy("source").agg(F.sum("got").alias("now")).select(F.col("source").alias("s"), "now")
             rows = rows.join(taken, F.col("source").eqNullSafe(F.col("s"))).withColumn("lack", F.col("lack") - F.col("now")).drop("s", "now", "got")
-    final = rates.select(F.col("source").alias("s"), "source_size", "target", "rate", "base")
+    final = rates.select(F.col("source").alias("s"), "source_size", "target", "rate", "base", "sign")
     rows = rows.join(final, F.col("source").eqNullSafe(F.col("s")))
-    copies = (F.col("base") + F.col("extra")).cast("int")
+    copies = (F.col("base") + F.col("sign") * F.col("extra")).cast("int")
     return rows.select(F.col("key").alias(key), "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -135,18 +139,22 @@ targets AS (
   FROM ranked LEFT JOIN level ON true),
 rates AS (
   SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS base FROM targets),
+owed AS (SELECT *, CAST(floor(target - base * source_size + 1e-6) AS BIGINT) AS owes FROM rates),
+dealt AS (
+  SELECT source, source_size, target, base + CASE WHEN owes * 2 > source_size THEN 1 ELSE 0 END AS base,
+         CASE WHEN owes * 2 > source_size THEN source_size - owes ELSE owes END AS lack,
+         CASE WHEN owes * 2 > source_size THEN -1 ELSE 1 END AS sign FROM owed),
 t0 AS (
-  SELECT d.doc_id, d.source, d.size, d.h, r.source_size, r.target, r.base, 0 AS extra,
-         CAST(floor(r.target - r.base * r.source_size + 1e-6) AS BIGINT) AS lack
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+  SELECT d.doc_id, d.source, d.size, d.h, r.source_size, r.target, r.base, r.sign, 0 AS extra, r.lack
+  FROM sized d JOIN dealt r ON d.source IS NOT DISTINCT FROM r.source),
 {turns}
-SELECT doc_id, size, source_size, target, CAST((base + extra) * size AS BIGINT) AS taken FROM t{last}
+SELECT doc_id, size, source_size, target, CAST((base + sign * extra) * size AS BIGINT) AS taken FROM t{last}
 """
 _TURN = """
 a{i} AS (SELECT *, CASE WHEN extra = 0 AND size <= lack AND size > 0 THEN size ELSE 0 END AS asked FROM t{p}),
 b{i} AS (SELECT *, sum(asked) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM a{i}),
 c{i} AS (SELECT * REPLACE (CASE WHEN asked > 0 AND through <= lack THEN 1 ELSE extra END AS extra),
          CASE WHEN asked > 0 AND through <= lack THEN asked ELSE 0 END AS got FROM b{i}),
-t{i} AS (SELECT doc_id, source, size, h, source_size, target, base, extra,
+t{i} AS (SELECT doc_id, source, size, h, source_size, target, base, sign, extra,
          CAST(lack - sum(got) OVER (PARTITION BY source) AS BIGINT) AS lack FROM c{i})"""
 ORACLE_MIXING = ORACLE_MIXING.format(turns=",".join(_TURN.format(i=i, p=i - 1) for i in range(1, TURNS + 1)), last=TURNS)
