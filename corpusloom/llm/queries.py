@@ -10,7 +10,8 @@ from corpusloom.llm.minhash import op9_minhash
 from corpusloom.llm.mixing import ORACLE_MIXING, op2_mixing
 from corpusloom.llm.packing import op5_packing
 from corpusloom.llm.sharding import op7_sharding
+from corpusloom.llm.suffix_dedup import op1_suffix_dedup
 from corpusloom.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_ann, op4_chat, op5_packing, op6_hnsw, op7_sharding, op8_toxicity, op9_minhash, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ann, op4_chat, op5_packing, op6_hnsw, op7_sharding, op8_toxicity, op9_minhash, op10_licenses)}
 ORACLES = {"op2_mixing": ORACLE_MIXING, "op3_ann": ORACLE_ANN, "op4_chat": ORACLE_CHAT}
