@@ -105,8 +105,8 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it; documents without words are not taken."""
-    plan = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(plan, "doc_id")
+    plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
