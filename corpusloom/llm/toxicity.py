@@ -41,7 +41,8 @@ _RUN = re.compile(r"(.)\1\1")
 _SPLIT = re.compile(r"[\W\d_]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡-_*~`/\\"
 _LONGEST = 40
-_CODES = np.zeros(256, np.int64)
+_PIECE = 1 << 20
+_CODES = np.zeros(256, np.int32)
 _CODES[97:123] = np.arange(1, 27)
 _CODES[65:91] = np.arange(1, 27)
 _CODES[128:] = 27
@@ -55,13 +56,23 @@ def code(char: str) -> int:
 
 def _trigrams(batches):
     total = np.zeros(LETTERS**3, np.int64)
+
+    def count(raw: bytes) -> None:
+        for at in range(0, len(raw) - 2, _PIECE):  # pieces share two letters
+            c = _CODES[np.frombuffer(raw, np.uint8, min(_PIECE + 2, len(raw) - at), at)]
+            before = np.where(c[1:-1] == 0, 0, c[:-2])
+            total[:] += np.bincount((before * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
+
     for batch in batches:
-        raw = "\n\n".join(t for t in batch.column(0).to_pylist() if t).encode("utf-8", "surrogatepass")
-        c = _CODES[np.frombuffer(b"\n\n" + raw + b"\n", np.uint8)]
-        if len(c) < 3:
-            continue
-        before = np.where(c[1:-1] == 0, 0, c[:-2])
-        total += np.bincount((before * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
+        held, size = [], 0
+        for text in batch.column(0):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            held.append(raw)
+            size += len(raw)
+            if size > _PIECE:
+                count(b"\n\n" + b"\n\n".join(held) + b"\n")
+                held, size = [], 0
+        count(b"\n\n" + b"\n\n".join(held) + b"\n")
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
