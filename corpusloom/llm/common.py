@@ -47,7 +47,7 @@ def partitions(spark: SparkSession) -> int:
 
 def size_estimate(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes of `df`; reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
