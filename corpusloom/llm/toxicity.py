@@ -41,6 +41,7 @@ _RUN = re.compile(r"(.)\1\1")
 _SPLIT = re.compile(r"[\W\d_]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡-_*~`/\\"
 _LONGEST = 40
+_REMEMBERED = 20_000
 _PIECE = 1 << 20
 _CODES = np.zeros(256, np.int32)
 _CODES[97:123] = np.arange(1, 27)
@@ -132,32 +133,29 @@ def decode(word: str, model: np.ndarray) -> str:
 
 @dataclass
 class Reader:
-    """Restores words; decoded words are remembered, which changes no result."""
+    """Restores words; the last decoded ones are remembered, which changes no result."""
 
     model: np.ndarray
     seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def read(self, word: str) -> tuple[str, ...]:
         """The words that one token stands for."""
-        if word.isalpha() and not _RUN.search(word):
-            return (word,)
+        bare = word.strip(_EDGES)
+        if bare.isalpha() and not _RUN.search(bare):
+            return (bare,)
         got = self.seen.get(word)
         if got is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) >= _REMEMBERED:
                 self.seen.clear()
-            got = self.seen[word] = self._restore(word)
+            got = self.seen[word] = self._restore(word, bare)
         return got
 
-    def _restore(self, word: str) -> tuple[str, ...]:
-        bare = word.strip(_EDGES)
-        if bare.isalpha() and not _RUN.search(bare):
-            return (bare,) if word[-1:] != "!" or len(word) - len(bare) != 1 else (bare,)
+    def _restore(self, word: str, bare: str) -> tuple[str, ...]:
         if len(bare) > _LONGEST or not _LETTER.search(word):
             return tuple(p for p in _SPLIT.split(bare) if p)
         parts = [p for p in re.split("[" + re.escape(SEPARATORS) + "]+", bare) if p]
         if len(parts) >= 4 and all(len(p) == 1 for p in parts):
-            bare = "".join(parts)
-            parts = [bare]
+            parts = ["".join(parts)]
         out = []
         for part in parts:
             if _LETTER.search(part) and (_SIGNS.search(part) or _RUN.search(part)):
@@ -291,9 +289,10 @@ def probability(text: str | None, model: Model, reader: Reader) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """`docs` with a column `out`: the probability that the text is toxic. Null texts count as empty."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all) of `docs` and `out`: the probability that the text is toxic. Null texts count as empty."""
+    kept = [f for f in docs.schema.fields if f.name != out and (keep is None or f.name in keep)]
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -315,5 +314,5 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    scored = score(docs.select("doc_id", "text"), model, out="score")
+    scored = score(docs.select("doc_id", "text"), model, out="score", keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
