@@ -45,13 +45,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def size_estimate(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes of `df`; reads no data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of `df`: the optimizer's estimate where it comes from the files themselves, else a sum over the texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    estimate = int(str(plan.stats().sizeInBytes()))
+    if estimate < 1 << 60 and "Join" not in plan.toString():
+        return estimate
+    return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
 def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
-    """0-based rank of each row inside its group, by (bucket, order).
+    """0-based rank of each row inside its group, by (bucket, order), as the column `out`.
 
     No task sees a whole group: rows are ranked inside (group, bucket) and shifted by the
     total of the buckets before, which come from a table of one row for each bucket.
@@ -64,7 +68,7 @@ def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Colum
     ranked = df.withColumn("__r", F.row_number().over(inside) - 1)
     on = [ranked[k].eqNullSafe(offsets[k]) for k in keys]
     joined = ranked.join(offsets, on)
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("__r") + F.col("__off")).cast("long").alias(out))
+    return joined.select(*[ranked[c] for c in df.columns if c != out], (F.col("__r") + F.col("__off")).cast("long").alias(out))
 
 
 def _forest(batches):

@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links.unionByName(more))
     roots = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", label.alias("component_id"))
     joined = rows.join(roots, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("fp").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

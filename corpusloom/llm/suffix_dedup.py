@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import partitions, size_estimate
+from corpusloom.llm.common import partitions, text_bytes
 
 WINDOW, GRAM = 100, 16
 REACH = WINDOW - GRAM  # greatest distance of a window's start before its anchor
@@ -435,8 +435,7 @@ def deduplicate(docs: DataFrame, kept: str = "kept") -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.drop("run", "n_bytes", "n_removed", "n_spans", kept)
-    runs = max(parts, -(-2 * size_estimate(docs) // RUN_BYTES))
-    runs = min(runs, 1 << 20)
+    runs = max(parts, -(-2 * text_bytes(docs) // RUN_BYTES))
     dealt = docs.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(runs, "run")
     keys = dealt.groupBy("run").applyInArrow(_announce(parts), "segment int, run int, keys binary")
     shared = keys.groupBy("segment").applyInArrow(_shared_keys, "run int, segment int, bits binary")

@@ -1,0 +1,421 @@
+"""Text operators against brute force, on awkward rows: nulls, empty and very long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from corpusloom.llm import licenses, minhash, mixing, packing, sharding, suffix_dedup, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def frame(spark, texts, sources=None):
+    rows = [(i, t, "en", (sources or ["a"])[i % len(sources or ["a"])], None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def corpus(seed=5, n=60):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 120))) for _ in range(n // 3)]
+    texts = list(base)
+    for t in base:  # near copies and exact copies
+        w = t.split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts += [" ".join(w), t if rng.random() < 0.3 else " ".join(rng.choice(words) for _ in range(40))]
+    return texts + [None, "", "   \n\t", "one", "One", "a b c d e", "A  b\tc d e", "é" * 70 + " x" * 80, "long " * 30000]
+
+
+# ---- 1: suffix dedup
+
+
+def brute_repeats(rows):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    seen, out = set(), []
+    for key, text in order:
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(raw[p : p + 100])
+        opens = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        out.append((key, len(raw), int(gone.sum()), opens, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+KEY = lambda r: tuple((x is not None, x) for x in r)
+
+
+def test_suffix_dedup_matches_brute_force(spark):
+    texts = corpus()[:-1] + ["ab" * 400, "ab" * 150, "q" * 99, "z" * 100, "z" * 100, "long " * 400]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0] * 3), (None, "x" * 300), (3, texts[3]), (3, texts[3])]
+    df = spark.createDataFrame([(k, t, 7, 8) for k, t in rows], "doc_id long, text string, run int, n_bytes int")
+    got = suffix_dedup.deduplicate(df, "kept_sha256").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=KEY) == sorted(brute_repeats(rows), key=KEY)
+
+
+def test_suffix_dedup_random_small_alphabets(spark):
+    rng = random.Random(3)
+    rows = []
+    base = "".join(rng.choice("ab") for _ in range(700))
+    for d in range(80):
+        rows.append((d, "".join(base[(i := rng.randrange(600)) : i + rng.randrange(60, 200)] + rng.choice(["", "z", str(d)]) for _ in range(4))))
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), "kept_sha256").collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
+
+
+def test_suffix_dedup_keeps_whole_characters_and_nulls(spark):
+    whole = "".join(chr(0xC0 + i) for i in range(60))
+    docs = frame(spark, [whole, "x" + whole, None, ""])
+    got = {r.doc_id: r for r in suffix_dedup.deduplicated_documents(docs).collect()}
+    assert got[0].text == whole and got[1].text == "x" and got[2].text is None and got[3].text == "" and got[1].n_chars == 1
+
+
+def test_suffix_dedup_empty_table(spark):
+    assert suffix_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string"), "kept_sha256").count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 8])
+def test_loser_tree_merges_and_knows_common_prefixes(k):
+    rng = random.Random(k)
+    runs = [sorted("".join(rng.choice("ab") for _ in range(rng.randint(1, 9))).encode() for _ in range(rng.randint(0, 12))) for _ in range(k)]
+
+    def coded(run):
+        last = b""
+        for s in run:
+            yield s, suffix_dedup._common(last, s, 0), b"", (0, 0, 0), 0
+            last = s
+
+    out, last = [], b""
+    for entry, shared in suffix_dedup.merged([coded(r) for r in runs]):
+        if out:
+            assert shared == suffix_dedup._common(last, entry[0], 0)
+        last = entry[0]
+        out.append(last)
+    assert out == sorted(s for r in runs for s in r)
+
+
+# ---- 2: mixing
+
+
+def test_mixing_targets_counts_and_closeness(spark):
+    rng = random.Random(1)
+    texts = [" ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(1, 60))) for _ in range(900)] + [None, "", " \t"]
+    df = frame(spark, texts, ["s0", "s0", "s0", "s1", "s2", None, "s0"])
+    rows = mixing.mix(df).collect()
+    assert len(rows) == len(texts)
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total = sum(sizes.values())
+    capped: set = set()
+    while True:  # reshare the excess by weight
+        open_ = [s for s in names if s not in capped]
+        left = total - sum(3 * sizes[s] for s in capped)
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    for s in names:
+        mine = [r for r in rows if r.source == s]
+        want = 3 * sizes[s] if s in capped else share[s]
+        assert mine[0].target == pytest.approx(want) and mine[0].source_size == sizes[s]
+        assert abs(sum(r.taken for r in mine) - want) <= max(0.01 * want, 60)
+        assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in mine)
+        assert mine[0].rate == pytest.approx(want / sizes[s], rel=1e-6)
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(tuple, again), key=KEY) == sorted(map(tuple, rows), key=KEY)
+
+
+def test_mixing_caps_and_copies(spark):
+    df = frame(spark, ["w " * 10] * 30 + ["w " * 2] * 3, ["big"]).withColumn("source", mixing.F.when(mixing.F.col("doc_id") >= 30, "tiny").otherwise("big"))
+    rows = mixing.mix(df).collect()
+    assert {r.target for r in rows if r.source == "tiny"} == {18.0} and all(r.copies == 3 for r in rows if r.source == "tiny")
+    docs = mixing.mixed_documents(df).collect()
+    assert len(docs) == sum(r.copies for r in rows) and set(docs[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_mixing_empty_and_wordless(spark):
+    assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+    rows = mixing.mix(frame(spark, [None, "", " "])).collect()
+    assert [r.taken for r in rows] == [0, 0, 0]
+
+
+# ---- 5: packing
+
+
+def brute_padding(lengths, k):
+    """Least padding over all choices of boundaries, by exhaustive search."""
+    from itertools import combinations
+
+    tops = sorted(set(lengths))
+    best = None
+    for n in range(1, min(k, len(tops)) + 1):
+        for inner in combinations(tops[:-1], n - 1):
+            ends = [*inner, tops[-1]]
+            cost = sum(min(e for e in ends if e >= x) - x for x in lengths)
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(2)
+    for _ in range(40):
+        lengths = [rng.randint(1, 14) for _ in range(rng.randint(1, 30))]
+        tops = sorted(set(lengths))
+        ends = packing.optimal_boundaries([(t, lengths.count(t), t * lengths.count(t)) for t in tops], 3)
+        assert len(ends) <= 3 and ends[-1] == tops[-1]
+        assert sum(min(e for e in ends if e >= x) - x for x in lengths) == brute_padding(lengths, 3)
+
+
+def test_batches_hold_the_budget(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([rng.randint(1, 80), rng.randint(1000, 9000)]), i % 3) for i in range(400)] + [(400, None, 0), (401, 0, 0), (5, 7, 1), (None, 9, 1), (402, 50000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, bucket int")
+    got = packing.pack(df, buckets=6, token_budget=10000).collect()
+    assert len(got) == len(rows)
+    batches = {}
+    for r in got:
+        if r.length is None or r.length < 1:
+            assert r.bucket is None and r.batch is None
+            continue
+        assert r.length <= r.pad_to
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    for (bucket, _), members in batches.items():
+        assert len(members) == 1 or members[0].pad_to * len(members) <= 10000
+        assert sorted(m.slot for m in members) == list(range(len(members)))
+    for bucket in {b for b, _ in batches}:
+        numbers = sorted(n for b, n in batches if b == bucket)
+        assert numbers == list(range(len(numbers)))
+        full = [len(m) for (b, n), m in batches.items() if b == bucket and n < numbers[-1]]
+        assert len(set(full)) <= 1
+    assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
+
+
+def test_histogram_cells_never_cut_a_length(spark):
+    got = spark.range(1, 5000).select("id", packing.cell_of(packing.F.col("id")).alias("c")).collect()
+    assert all(r.c == r.id for r in got if r.id < 1024)
+    assert all(r.c <= r.id < r.c * (1 + 1 / 128) + 1 for r in got)
+
+
+# ---- 7: sharding
+
+
+def test_rendezvous_moves_rows_only_to_the_new_shard(spark):
+    df = spark.createDataFrame([(i, "x", 5) for i in range(3000)] + [(None, "n", 5), (7, "again", 5)], "doc_id long, text string, slot int")
+    got = sharding.shard(df, [1.0] * 8).collect()
+    assert len(got) == 3002
+    nine = {r.doc_id: r.shard for r in sharding.shard(df, [1.0] * 9).collect()}
+    for r in got:
+        assert r.grown_shard in (r.shard, 8) and nine[r.doc_id] == r.grown_shard
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots))) and 280 < len(slots) < 480
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1
+
+
+def test_rendezvous_weights(spark):
+    df = spark.range(6000).withColumnRenamed("id", "doc_id")
+    counts = dict(sharding.shard(df, [1.0, 2.0, 3.0]).groupBy("shard").count().collect())
+    assert [round(counts[s] / 1000) for s in range(3)] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        sharding.rendezvous(sharding.F.col("x"), [1.0, 0.0])
+    assert sharding.shard(spark.createDataFrame([], "doc_id long"), [1.0]).count() == 0
+
+
+# ---- 8: toxicity
+
+
+def model_of(words):
+    counts = np.ones((28, 28, 28))
+    for w in words:
+        codes = [0, 0, *[toxicity.code(c) for c in w], 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[0 if b == 0 else a, b, c] += 50
+    return np.log(counts / counts.sum(2, keepdims=True))
+
+
+@pytest.mark.parametrize("hidden", ["m0r0n", "moooron", "m.o.r.o.n", "m-o-r-o-n", "m0rrr0n", "MORON".lower()])
+def test_hidden_words_are_restored(hidden):
+    reader = toxicity.Reader(model_of(["moron", "idiot", "the", "and"]))
+    assert "moron" in reader.words(f"so {hidden}, there")[0]
+
+
+def test_spaced_words_are_restored():
+    reader = toxicity.Reader(model_of(["moron", "idiot", "the", "and"]))
+    assert "idiot" in reader.words("you 1 d 1 0 t there")[0]
+    assert reader.words(None) == (set(), 0) and reader.words("") == (set(), 0)
+    assert reader.words("plain words 2024 55")[0] >= {"plain", "words"}
+
+
+def brute_decode(word, model):
+    best = None
+
+    def walk(options, score, text, a, b):
+        nonlocal best
+        if not options:
+            total = score + model[a, b, 0]
+            best = max(best, (total, text)) if best else (total, text)
+            return
+        for letters, cost in options[0]:
+            x, y, s = a, b, score - cost
+            for letter in letters:
+                z = toxicity.code(letter)
+                s += model[x, y, z]
+                x, y = y, z
+            walk(options[1:], s, text + letters, x, y)
+
+    walk(toxicity.lattice(word), 0.0, "", 0, 0)
+    return best[1]
+
+
+def test_viterbi_finds_the_best_path():
+    model = model_of(["moron", "clown", "trash", "idiot", "stupid", "worthless"])
+    for word in ["m0r0n", "cl0wn", "7r4sh", "1d10t", "s7up1d", "w0r7hl355", "tr4aaash", "!d!ot"]:
+        assert toxicity.decode(word, model) == brute_decode(word, model)
+
+
+def test_toxicity_learns_and_generalises(spark):
+    rng = random.Random(9)
+    syllables = ["ba", "do", "ki", "lu", "me", "no", "ra", "su", "ti", "ve"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        text = [word() for _ in range(60)]
+        if toxic:
+            for _ in range(2):
+                text.insert(rng.randrange(60), rng.choice(["grobble", "snizzle", "gr0bble", "sn1zzle"]))
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(900, None), (901, ""), (902, "grobble"), (903, "grobble " * 40000), (902, "grobble")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxicity", toxicity.F.lit("old"))
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learned = toxicity.training_labels(labelled)
+    model = toxicity.train(docs, learned)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
+    known = {r.doc_id for r in learned.collect()}
+    held = [i for i in range(900) if i not in known]
+    assert len(held) > 200
+    right = sum((got[i] >= toxicity.CUTOFF) == (i % 5 == 0) for i in held)
+    assert right / len(held) > 0.98
+    assert got[900] == got[901] < 0.3 and got[902] >= 0.7 and got[903] >= 0.7
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert [round(r.toxicity, 6) for r in toxicity.score(docs, model).collect()] == [0.5, 0.5]
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+# ---- 9: near duplicates
+
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                if rows[a][0] > rows[b][0]:
+                    a, b = b, a
+                label[b] = a
+    return [(k, len(s), rows[root(i)][0], rows[root(i)][0] == k) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = list(enumerate(corpus(seed=11, n=150)))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    for i in range(60):  # a dense group whose members differ in one place each, and a chain
+        w = list(base)
+        w[rng.randrange(90)] = f"v{i}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(f"c{j}" for j in range(i * 4, i * 4 + 110))) for i in range(12)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, component_id string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df).collect())
+    assert got == sorted(brute_components(rows))
+
+
+def test_near_duplicates_nulls_repeats_empty(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b  c d E f"), (None, "a b c d e f"), (3, None), (4, "")], "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=KEY)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, None, True), (3, 0, 3, True), (4, 0, 4, True)], key=KEY)
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_index_finds_every_pair_within_the_distance():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a = rng.integers(0, 256, minhash.SYMBOLS, dtype=np.uint8)
+        b = a.copy()
+        at = rng.choice(minhash.INDEXED, minhash.DISTANCE, replace=False)
+        b[at] ^= rng.integers(1, 256, len(at), dtype=np.uint8)
+        batch = minhash.pa.RecordBatch.from_arrays([minhash.pa.array([1, 2]), minhash.pa.array([a.tobytes(), b.tobytes()])], ["rep", "sig"])
+        keys = next(minhash._keys([batch])).column(0).to_numpy().reshape(2, -1)
+        assert set(keys[0]) & set(keys[1])
+
+
+# ---- 10: licences
+
+
+def test_license_scan_matches_brute_force(spark):
+    texts = corpus(seed=2) + [
+        "Released under the MIT License. Under the mit-license, cc-by-nc!", "APACHE license, version 2.0 or cc BY nc", "under the mit licenseé", "xunder the mit license",
+        "under the mit license under the mit license", "under THE\nMIT\tlicense x", "the word under the mit license", "SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0",
+    ]
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(texts[r.doc_id] or ""))
+        at = sorted((i, p) for p in phrases for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        want = (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({phrases[p] for _, p in at})))
+        assert tuple(r)[1:6] == want, texts[r.doc_id]
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("MIT", ["mit"], 1.0),
+        ("MIT OR GPL-2.0-only", ["mit", "gpl"], 1.0),
+        ("MIT AND GPL-2.0-only", ["mit", "gpl"], 0.3),
+        ("MIT OR GPL-2.0 AND AGPL-3.0", ["mit", "gpl", "agpl"], 1.0),
+        ("(MIT OR GPL-2.0) AND AGPL-3.0", ["mit", "gpl", "agpl"], 0.2),
+        ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl"], 0.65),
+        ("GPL-2.0 WITH x OR MIT", ["gpl", "mit"], 1.0),
+        ("Apache-2.0 the rest is prose", ["apache-2"], 1.0),
+        ("", [], None),
+        ("AND MIT", [], None),
+        ("MIT OR", ["mit"], 1.0),
+        ("((MIT", ["mit"], 1.0),
+        ("CC-BY-NC-4.0", ["cc-by-nc"], 0.2),
+        ("X-Own", ["x-own"], 0.1),
+    ],
+)
+def test_license_expressions(text, labels, score):
+    assert licenses.evaluate(text) == (labels, score)

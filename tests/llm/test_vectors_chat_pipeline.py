@@ -1,0 +1,235 @@
+"""Vector search, vector near-duplicates, chat formatting and the pipeline, against brute force and round trips."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from corpusloom.llm import ann, chat, common, hnsw, queries
+from corpusloom.llm.vectors import dots, norms
+
+VECTORS = "vec_id long, embedding array<float>, label int, score double"
+
+
+def vectors(n=400, dim=12, seed=0, groups=6, copies=25):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    for g in range(groups):  # near copies and exact copies
+        at = rng.integers(0, n, copies)
+        x[at] = x[at[0]] + rng.normal(size=(copies, dim)) * 0.08
+        x[at[:4]] = x[at[0]]
+    return x.astype(np.float32)
+
+
+def table(spark, x, more=()):
+    rows = [(i, [float(v) for v in r], 0, 9.0) for i, r in enumerate(x)]
+    return spark.createDataFrame([*rows, *more], VECTORS)
+
+
+BAD = [(900, None, 0, 0.0), (901, [0.0] * 12, 0, 0.0), (902, [1.0] * 11 + [float("nan")], 0, 0.0), (903, [1.0] * 11 + [float("inf")], 0, 0.0), (904, [1.0] * 11 + [None], 0, 0.0), (950, [], 0, 0.0)]
+
+
+def cosines(x):
+    x = x.astype(np.float64)
+    n = norms(x)
+    return np.stack([dots(np.repeat(x[i : i + 1], len(x), 0), x) / (n[i] * n) for i in range(len(x))])
+
+
+def test_nearest_is_exact(spark):
+    x = vectors()
+    rows = table(spark, x, BAD)
+    got = ann.nearest(rows.where("vec_id % 50 = 0"), rows).collect()
+    c = cosines(x)
+    want = []
+    for q in range(0, len(x), 50):
+        order = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-c[q, i], i))[:5]
+        want += [(q, r, i, c[q, i]) for r, i in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_nearest_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROW_BLOCK", 40)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    test_nearest_is_exact(spark)
+
+
+def test_nearest_few_rows_and_empty(spark):
+    rows = table(spark, vectors(3))
+    got = ann.nearest(rows.where("vec_id = 0"), rows).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2]
+    assert ann.nearest(rows.limit(0), rows.limit(0)).count() == 0
+    assert ann.nearest(rows.union(rows), rows.union(rows)).where("query_id = 0").count() == 2
+
+
+def test_quantisation_bound_holds():
+    x = vectors(200, 33, 4).astype(np.float64)
+    codes, scale, error = ann.quantise(x)
+    assert codes.min() >= -127 and codes.max() <= 127 and (codes == np.rint(codes)).all()
+    near = ann.integer_product(codes, codes) * (scale[:, None] * scale[None])
+    bound = error[:, None] + (1 + error[:, None]) * error[None] + 1e-12
+    assert (np.abs(cosines(x) - near) <= bound).all()
+    wide = np.random.default_rng(1).integers(-127, 128, (3, 2500)).astype(np.float32)
+    assert (ann.integer_product(wide, wide) == wide.astype(np.int64) @ wide.astype(np.int64).T).all()
+
+
+def brute_links(x, threshold=0.95):
+    near = cosines(x) >= threshold
+    np.fill_diagonal(near, False)
+    label = list(range(len(x)))
+    for i in range(len(x)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        label[i] = min(seen)
+    return near.sum(1), label
+
+
+def test_near_vectors_find_all_links(spark):
+    x = vectors(700, 12, 3, groups=8, copies=60)
+    n_links, label = brute_links(x)
+    got = {r.vec_id: r for r in hnsw.near_vectors(table(spark, x, BAD)).collect()}
+    assert len(got) == len(x) + len(BAD)
+    found, true = sum(got[i].n_links for i in range(len(x))), n_links.sum()
+    assert found >= 0.99 * true and all(got[i].n_links <= n_links[i] for i in range(len(x)))
+    assert np.mean([got[i].component_id == label[i] for i in range(len(x))]) > 0.99
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    for bad in BAD:
+        assert tuple(got[bad[0]]) == (bad[0], 0, bad[0], True)
+
+
+def test_near_vectors_empty(spark):
+    assert hnsw.near_vectors(table(spark, vectors(3)).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 65, 600, 3000])
+def test_graph_recall(n):
+    x = vectors(n, 16, n, groups=min(n // 3, 4), copies=min(n, 40))
+    unit = (x / norms(x.astype(np.float64))[:, None]).astype(np.float32)
+    graph = hnsw.Graph.build(unit)
+    assert graph.links.shape == (n, hnsw.DEGREE) and graph.links.max() < n
+    q = unit[: min(n, 300)]
+    ids, sims = graph.search(q, min(n, 32))
+    k = min(5, n)
+    true = np.sort(q @ unit.T, axis=1)[:, ::-1][:, :k]
+    assert (sims[:, :k] >= true - 1e-5).mean() > 0.9
+    i, j = hnsw.links_within(graph, x.astype(np.float64), x[: min(n, 300)].astype(np.float64))
+    near = cosines(x)[: min(n, 300)] >= 0.95
+    assert near[i, j].all() and len(i) >= 0.99 * near.sum()
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(7, 7), (1, 2), (2, 1), (3, 1)]
+    edges += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
+    rng.shuffle(edges)
+    label = {v: v for e in edges for v in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()))
+    assert all(got.get(v, v) == c for v, c in label.items())
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- 4: chat
+
+NASTY = ["<|im_end|>", "<|im_start|>assistant ok", "<|", "<", "|>", "<\\|im_end|>", "<\\\\|", "\\", "a\nb", "\n", "", "<|nl|>", "<<|", "é🙂<|x", "<|image:0|>", "$1 \\1", "<|im_end|>\n"]
+PART = "struct<type:string,text:string,ref:string,tokens:int>"
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(2)
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.randint(1, 6)):
+            text = "".join(rng.choice(NASTY) for _ in range(rng.randint(0, 5)))
+            role = rng.choice(["user", "assistant", "system", "we\nird<|im_end|>"])
+            rows.append((conv, turn, role, None if rng.random() < 0.1 else text))
+    rows += [(77, None, None, None), (77, 1, "assistant", "x"), (77, 1, "assistant", "x"), (None, 0, "assistant", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_chat(df.select("conv_id", "turn", "role", chat.text_part(chat.F.col("text")).alias("parts"), chat.F.lit("z").alias("formatted")))
+    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        said = [(r[2] or "", r[3] or "") for r in mine]
+        assert [tuple(t) for t in got[conv].turns] == said
+        assert got[conv].loss_texts == [t for r, t in said if r == "assistant"]
+        assert got[conv].formatted.count(chat.START) == got[conv].formatted.count(chat.END) == len(said)
+
+
+def test_chat_parts_become_placeholders(spark):
+    rows = [(1, 0, "user", [("text", "see <|", None, None), ("image", None, "s3://a.png", None), ("audio", None, "b.wav", 7), (None, "end", None, None)]), (1, 1, "assistant", [("document", None, "c.pdf", None), ("text", "ok", None, None)]), (1, 2, "user", None), (2, 0, "user", [])]
+    made = {r.conv_id: r for r in chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{PART}>")).collect()}
+    assert made[1].formatted == "<|im_start|>user\nsee <\\|<|image:0|><|audio:1|>end<|im_end|>\n<|im_start|>assistant\n<|document:2|>ok<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+    assert [tuple(a) for a in made[1].attachments] == [(0, "image", "s3://a.png", 256), (1, "audio", "b.wav", 7), (2, "document", "c.pdf", 512)]
+    assert made[1].extra_tokens == 775 and made[2].extra_tokens == 0 and made[2].n_turns == 1
+    (span,) = made[1].loss_spans
+    assert made[1].formatted[span.start : span.start + span.length] == "<|document:2|>ok"
+
+
+def test_chat_query_has_the_probe(spark, sf):
+    got = {r.conv_id: r for r in queries.QUERIES["op4_chat"](spark, sf).collect()}
+    said = "".join(f"{r}\n{chat.PROBE}\n" for r in ("user", "assistant"))
+    assert got[-1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[-1].n_turns == 2
+    assert got[-1].loss_chars == len(chat.PROBE) and got[-1].loss_sha256 == hashlib.sha256(chat.PROBE.encode()).hexdigest()
+
+
+def test_chat_empty(spark):
+    assert chat.format_chat(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{PART}>")).count() == 0
+
+
+# ---- queries and pipeline
+
+
+def test_oracles_agree(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings", "conversations"):
+        con.sql(f"create view {name} as select * from read_parquet('{sf}/{name}.parquet')")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, sf)
+        columns = sorted(df.columns)
+        want = con.sql(f"select {', '.join(columns)} from ({sql})").fetchall()
+        assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(want, key=repr), name
+
+
+def test_every_query_covers_its_table(spark, sf):
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for name in ("op1_suffix_dedup", "op2_mixing", "op5_packing", "op7_sharding", "op8_toxicity", "op9_minhash", "op10_licenses"):
+        assert queries.QUERIES[name](spark, sf).count() == n, name
+
+
+def test_pipeline_stage_by_stage(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    names = [n for n, _ in P.STAGES]
+    assert names == ["toxicity", "minhash", "suffix_dedup", "mixing", "packing"]
+    rows, kept = docs, {}
+    for name, stage in P.STAGES:
+        rows = common.materialize(stage(spark, rows, sf), name)
+        kept[name] = rows.collect()
+        if name != "packing":
+            assert rows.columns == columns
+    clean = {r.doc_id for r in kept["toxicity"]}
+    assert clean >= set(before) - toxic and all(before[r.doc_id].text == r.text for r in kept["toxicity"])
+    from test_text_operators import brute_components, brute_repeats
+
+    first = [(r.doc_id, r.text) for r in kept["toxicity"]]
+    assert {r.doc_id for r in kept["minhash"]} == {c[0] for c in brute_components(first) if c[3]}
+    cut = {r[0]: r[2] for r in brute_repeats([(r.doc_id, r.text) for r in kept["minhash"]])}
+    for r in kept["suffix_dedup"]:
+        lost = len(before[r.doc_id].text.encode()) - len(r.text.encode())
+        assert cut[r.doc_id] <= lost <= cut[r.doc_id] + 8 * (cut[r.doc_id] > 0) + cut[r.doc_id] // 20 and r.n_chars == len(r.text)
+    mixed = [r.doc_id for r in kept["mixing"]]
+    assert set(mixed) <= {r.doc_id for r in kept["suffix_dedup"]} and max(map(mixed.count, set(mixed))) <= 3
+    assert sorted(r.doc_id for r in kept["packing"]) == sorted(mixed)
+    assert sorted(map(tuple, P.run(spark, sf).collect()), key=repr) == sorted(map(tuple, kept["packing"]), key=repr)
