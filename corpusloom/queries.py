@@ -386,8 +386,8 @@ def semantic_dedup_greedy(spark, sf_dir):
 
 
 _TALK = "SELECT conv_id AS session, turn, role, text, 'toolu_' || conv_id || '_' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations"
-_TOOL = """SELECT session, 3 * t + 1 AS line_index, 2 * t AS item_no, 'tool_use' AS item_type, id, CASE turn % 4 WHEN 1 THEN 'Write' WHEN 3 THEN 'Bash' ELSE 'Read' END AS name, CASE WHEN turn % 4 <> 3 THEN '/f' || ((session + turn) % 2) || '.txt' END AS path, NULL AS content, NULL AS is_error FROM talk
-  UNION ALL SELECT session, 3 * t + 2, 2 * t + 1, 'tool_result', id, NULL, NULL, CASE WHEN turn % 4 = 3 THEN 'Command running in background with ID: ' || turn WHEN turn % 3 = 2 THEN 'same error' ELSE repeat('x', CAST(turn * 400 AS INT)) END, turn % 3 = 2 AND turn % 4 <> 3 FROM talk"""
+_TOOL = """SELECT session, 3 * t + 1 AS line_index, 2 * t AS item_no, 'tool_use' AS item_type, id, CASE turn % 4 WHEN 1 THEN 'Write' WHEN 3 THEN 'Bash' ELSE 'Read' END AS name, CASE WHEN turn % 4 <> 3 THEN '/f' || ((session + turn // 2) % 2) || '.txt' END AS path, NULL AS content, NULL AS is_error FROM talk
+  UNION ALL SELECT session, 3 * t + 2, 2 * t + 1, 'tool_result', id, NULL, NULL, CASE WHEN turn % 4 = 3 THEN 'Command running in background with ID: ' || turn WHEN turn % 2 = 0 AND turn >= 2 THEN 'same error' ELSE repeat('x', CAST(turn * 400 AS INT)) END, turn % 2 = 0 AND turn >= 2 FROM talk"""
 _RULE = {
     "dedupe_latest_read": "SELECT r.session, r.line_index, r.id, 'dedupe_latest_read' AS rule, strlen(r.content) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY session, path ORDER BY line_index DESC) AS k FROM i WHERE name = 'Read') u JOIN i r ON r.session = u.session AND r.id = u.id AND r.item_type = 'tool_result' WHERE u.k > 1",
     "supersede_write_by_read": "SELECT r.session, r.line_index, r.id, 'supersede_write_by_read' AS rule, strlen(r.content) AS bytes FROM i u JOIN i r ON r.session = u.session AND r.id = u.id AND r.item_type = 'tool_result' WHERE u.name IN ('Write', 'Edit') AND EXISTS (SELECT 1 FROM i x WHERE x.name = 'Read' AND x.session = u.session AND x.path = u.path AND x.line_index > u.line_index)",

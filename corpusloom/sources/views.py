@@ -111,12 +111,12 @@ def transcripts(spark, sf_dir) -> DataFrame:
     ))
     use_id = F.concat(F.lit("toolu_"), conv, F.lit("_"), turn)
     name = F.when(F.col("turn") % 4 == 1, "Write").when(F.col("turn") % 4 == 3, "Bash").otherwise("Read")
-    path = F.when(F.col("turn") % 4 != 3, F.concat(F.lit("/f"), _text((F.col("conv_id") + F.col("turn")) % 2), F.lit(".txt")))
+    path = F.when(F.col("turn") % 4 != 3, F.concat(F.lit("/f"), _text((F.col("conv_id") + F.floor(F.col("turn") / 2)) % 2), F.lit(".txt")))
     use = F.struct(F.lit("tool_use").alias("type"), use_id.alias("id"), name.alias("name"), F.struct(path.alias("file_path")).alias("input"))
     used = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.lit("assistant").alias("role"), F.array(use).alias("content")).alias("message")))
-    failed = F.col("turn") % 3 == 2
+    failed = (F.col("turn") % 2 == 0) & (F.col("turn") >= 2)
     content = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("Command running in background with ID: "), turn)).when(failed, "same error").otherwise(F.repeat(F.lit("x"), (F.col("turn") * 400).cast("int")))
-    result = F.struct(F.lit("tool_result").alias("type"), use_id.alias("tool_use_id"), content.alias("content"), F.when(failed & (F.col("turn") % 4 != 3), True).alias("is_error"))
+    result = F.struct(F.lit("tool_result").alias("type"), use_id.alias("tool_use_id"), content.alias("content"), F.when(failed, True).alias("is_error"))
     got = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.lit("user").alias("role"), F.array(result).alias("content")).alias("message")))
     each = F.explode(F.array(*[F.struct((F.col("turn") * 4 + i).alias("k"), line.alias("line")) for i, line in enumerate((said, used, got))])).alias("r")
     rows = c.select("conv_id", each).select("conv_id", "r.*").unionByName(c.select("conv_id").distinct().select("conv_id", F.lit(1 << 40).alias("k"), F.lit("not json").alias("line")))
