@@ -11,7 +11,7 @@ LONGEST_RUN = 5
 
 
 def collapse_runs(docs: DataFrame, text: str = "text", out: str = "compressed") -> DataFrame:
-    """Runs of more than five identical lines become the line and a marker; every line then ends with LF.
+    """Runs of more than five identical lines become the line and a marker; every line then ends with LF. A null text stays null.
 
     Gaps and islands inside each row's array of lines: nothing is shuffled.
     """
@@ -28,4 +28,4 @@ def collapse_runs(docs: DataFrame, text: str = "text", out: str = "compressed")
         return F.when(n > LONGEST_RUN, marker).otherwise(F.repeat(F.concat(F.get(l, a), F.lit("\n")), n))
 
     pieces = F.zip_with("__begins", "__ends", lambda a, b: F.when(a.isNotNull(), piece(a, b)).otherwise(""))
-    return rows.withColumn(out, F.array_join(pieces, "")).drop("__lines", "__begins", "__ends")
+    return rows.withColumn(out, F.when(F.col(text).isNotNull(), F.array_join(pieces, ""))).drop("__lines", "__begins", "__ends")

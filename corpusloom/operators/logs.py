@@ -66,6 +66,6 @@ def compress_logs(docs: DataFrame, limits: LogLimits = LogLimits(), text: str =
     marker = F.concat(F.lit("["), omitted.cast("string"), F.lit(" lines omitted: "), F.size("__errors").cast("string"), F.lit(" error, "), F.size("__warns").cast("string"), F.lit(" warn]"))
     shown = F.concat(F.transform("__kept", lambda i: F.get(l, i)), F.when(omitted > 0, F.array(marker)).otherwise(F.array().cast("array<string>")))
     nothing = F.size("__chosen") == 0
-    rows = rows.withColumn(out, F.when(nothing, F.col(text)).otherwise(F.array_join(shown, "\n")))
+    rows = rows.withColumn(out, F.when(nothing | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(shown, "\n")))
     rows = rows.withColumn("lines_before", n.cast("long")).withColumn("lines_after", F.when(nothing, n).otherwise(F.size("__kept")).cast("long"))
     return rows.drop("__lines", "__marks", "__scores", "__errors", "__warns", "__sums", "__chosen", "__near", "__kept")

@@ -36,5 +36,5 @@ def compress_search(docs: DataFrame, text: str = "text", out: str = "compressed"
     rows = rows.withColumn("__groups", F.array_sort(F.filter(groups, lambda g: g.isNotNull())))
     others = F.transform(F.filter(positions(l), lambda i: F.get(f, i) == ""), lambda i: F.get(l, i))
     rows = rows.withColumn("__shown", F.concat(F.flatten(F.transform("__groups", lambda g: g["shown"])), others))
-    rows = rows.withColumn(out, F.array_join("__shown", "\n")).withColumn("lines_before", F.size(l).cast("long")).withColumn("lines_after", F.size("__shown").cast("long"))
+    rows = rows.withColumn(out, F.when(F.col(text).isNotNull(), F.array_join("__shown", "\n"))).withColumn("lines_before", F.size(l).cast("long")).withColumn("lines_after", F.size("__shown").cast("long"))
     return rows.drop("__lines", "__files", "__sorted", "__begins", "__ends", "__groups", "__shown")

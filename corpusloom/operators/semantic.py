@@ -59,8 +59,8 @@ def extractive_summary(rows: DataFrame, group: str, order: str, vector: str, win
     n = F.count(F.lit(1)).over(Window.partitionBy(group))
     ranked = rows.select(group, order, F.col(vector).alias("v")).withColumn("n", n).where(F.col("n") >= SUMMARY_FROM)
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("stride", F.ceil(F.col("n") / window))
-    marks = ranked.where("r % stride = 0").select(F.col(group).alias("g"), F.col("r").alias("mr"), F.col("v").alias("mv"))
-    pairs = ranked.join(marks, (F.col(group) == F.col("g")) & (F.col("r") != F.col("mr")))
+    marks = ranked.where("r % stride = 0").select(F.col(group).alias("__g"), F.col("r").alias("mr"), F.col("v").alias("mv"))
+    pairs = ranked.join(marks, (F.col(group) == F.col("__g")) & (F.col("r") != F.col("mr")))
     scored = pairs.groupBy(group, order, "n").agg(F.avg(cosine(F.col("v"), F.col("mv"))).alias("centrality"))
     take = F.greatest(F.lit(SUMMARY_LEAST), F.least(F.round(F.col("n") * SUMMARY_SHARE).cast("int"), F.least(F.lit(SUMMARY_MOST), F.col("n").cast("int"))))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.round("centrality", 9).desc(), order)))
@@ -70,6 +70,6 @@ def extractive_summary(rows: DataFrame, group: str, order: str, vector: str, win
 def pairs_over(rows: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
     """group, a, b, similarity of the pairs of one group (a before b) at or over a threshold."""
     left = rows.select(F.col(group), F.col(order).alias("a"), F.col(vector).alias("va"))
-    right = rows.select(F.col(group).alias("g"), F.col(order).alias("b"), F.col(vector).alias("vb"))
-    both = left.join(right, (F.col(group) == F.col("g")) & (F.col("a") < F.col("b"))).withColumn("similarity", cosine(F.col("va"), F.col("vb")))
+    right = rows.select(F.col(group).alias("__g"), F.col(order).alias("b"), F.col(vector).alias("vb"))
+    both = left.join(right, (F.col(group) == F.col("__g")) & (F.col("a") < F.col("b"))).withColumn("similarity", cosine(F.col("va"), F.col("vb")))
     return both.where(F.round("similarity", 9) >= threshold).select(group, "a", "b", F.round("similarity", 6).alias("similarity"))

@@ -1 +1 @@
-
+"""Streams: the compressors on unbounded inputs, windowed kind counts, incremental digests."""
