@@ -43,6 +43,7 @@ _BLOCK = 1 << 20
 _DROPPED = 16  # low bits of a hash that are not sent; fewer bits only make more candidates
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PAD = 128
+_RUN = "__run"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -391,60 +392,66 @@ def _settle(key, table):
     return pa.table({"run": pa.array(runs, pa.int32()), "spans": pa.array(blobs, pa.binary())})
 
 
-def _cut(kept: str):
-    """Rows of a run with n_bytes, n_removed, n_spans and what stays: its digest or the bytes."""
+#: What `deduplicate` can return of the bytes that stay, and its type.
+KEPT = {"kept": pa.binary(), "kept_text": pa.string(), "kept_sha256": pa.string()}
+
+
+def _cut(kept: str, prefix: str):
+    """Rows of a run with n_bytes, n_removed, n_spans and what stays: the bytes, their text or their digest."""
 
     def run(key, table, spans):
         own = _load(table)
         n = len(own.data)
-        change = np.zeros(n + 1, np.int64)
+        change = np.zeros(n + 1, np.int32)
         for blob in spans.column("spans").to_pylist():
             document, start, end = _unpack(blob, "<i4", "<i8", "<i8")
             np.add.at(change, own.begin[document] + start, 1)
             np.add.at(change, own.begin[document] + end, -1)
-        removed = np.cumsum(change[:-1]) > 0
+        removed = np.cumsum(change[:-1], dtype=np.int32) > 0
         opens = removed.copy()
         opens[1:] &= ~removed[:-1]
         inside = own.begin[:-1][own.begin[:-1] < n]
         opens[inside] = removed[inside]
-        sums, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (removed, opens))
-        per = lambda s: s[own.begin[1:]] - s[own.begin[:-1]]
+        per = []
+        for flags in (removed, opens):
+            at = np.flatnonzero(flags)
+            per.append(np.diff(np.searchsorted(at, own.begin)))
         stay = [own.buffer[b:e][~removed[b:e]].tobytes() for b, e in zip(own.begin[:-1], own.begin[1:], strict=True)]
         if kept == "kept_sha256":
             stay = [hashlib.sha256(s).hexdigest() for s in stay]
         elif kept == "kept_text":
             stay = [s.decode("utf-8", "ignore") for s in stay]
-        out = table.take(pa.array(own.order, pa.int64())).drop_columns(["run"])
-        if kept == "kept_sha256":
-            out = out.drop_columns(["text"])
-        for name, values, kind in (("n_bytes", np.diff(own.begin), pa.int64()), ("n_removed", per(sums), pa.int64()), ("n_spans", per(runs), pa.int64()), (kept, stay, pa.binary() if kept == "kept" else pa.string())):
-            out = out.append_column(name, pa.array(values, kind))
+        out = table.take(pa.array(own.order, pa.int64())).drop_columns([_RUN, *(["text"] if kept == "kept_sha256" else [])])
+        added = (("n_bytes", np.diff(own.begin), pa.int64()), ("n_removed", per[0], pa.int64()), ("n_spans", per[1], pa.int64()), (kept, stay, KEPT[kept]))
+        for name, values, kind in added:
+            out = out.append_column(prefix + name, pa.array(values, kind))
         return out
 
     return run
 
 
-def deduplicate(docs: DataFrame, kept: str = "kept") -> DataFrame:
+def deduplicate(docs: DataFrame, kept: str = "kept", prefix: str = "") -> DataFrame:
     """Each row of `docs` (doc_id, text, ...) with n_bytes, n_removed, n_spans and `kept`, the bytes that stay.
 
     With kept="kept_text" they are text, without the characters that lost some of their bytes; with
     kept="kept_sha256" their digest takes the place of text and bytes. Null and empty texts have no
     bytes; a null doc_id comes before all others; rows with the same doc_id come in order of their texts
-    and repeat each other like any. Columns named run, n_bytes, n_removed, n_spans or `kept` are replaced.
+    and repeat each other like any. The added names begin with `prefix`; columns that have them are replaced.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    docs = docs.drop("run", "n_bytes", "n_removed", "n_spans", kept)
+    names = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", kept)]
+    docs = docs.drop(*names)
     runs = max(parts, -(-2 * text_bytes(docs) // RUN_BYTES))
-    dealt = docs.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(runs, "run")
-    keys = dealt.groupBy("run").applyInArrow(_announce(parts), "segment int, run int, keys binary")
+    dealt = docs.withColumn(_RUN, F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(runs, _RUN)
+    keys = dealt.groupBy(_RUN).applyInArrow(_announce(parts), "segment int, run int, keys binary")
     shared = keys.groupBy("segment").applyInArrow(_shared_keys, "run int, segment int, bits binary")
-    offered = dealt.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(_offer(parts, parts), "target int, run int, kind int, blob binary")
+    offered = dealt.groupBy(_RUN).cogroup(shared.groupBy("run")).applyInArrow(_offer(parts, parts), "target int, run int, kind int, blob binary")
     spans = offered.groupBy("target").applyInArrow(_settle, "run int, spans binary")
     fields = [f for f in docs.schema.fields if not (kept == "kept_sha256" and f.name == "text")]
-    added = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([*fields, *added, T.StructField(kept, T.BinaryType() if kept == "kept" else T.StringType())])
-    return dealt.groupBy("run").cogroup(spans.groupBy("run")).applyInArrow(_cut(kept), schema)
+    kinds = [T.LongType()] * 3 + [T.BinaryType() if kept == "kept" else T.StringType()]
+    schema = T.StructType([*fields, *map(T.StructField, names, kinds)])
+    return dealt.groupBy(_RUN).cogroup(spans.groupBy("run")).applyInArrow(_cut(kept, prefix), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -454,7 +461,7 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """`docs` with the text that stays, and its n_chars; a null text stays null."""
-    kept = deduplicate(docs, "kept_text").withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    kept = deduplicate(docs, "kept_text", "__").withColumn("text", F.when(F.col("text").isNotNull(), F.col("__kept_text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -75,8 +75,9 @@ def test_suffix_dedup_random_small_alphabets(spark):
 
 def test_suffix_dedup_keeps_whole_characters_and_nulls(spark):
     whole = "".join(chr(0xC0 + i) for i in range(60))
-    docs = frame(spark, [whole, "x" + whole, None, ""])
+    docs = frame(spark, [whole, "x" + whole, None, ""]).withColumn("run", suffix_dedup.F.lit("own")).withColumn("n_bytes", suffix_dedup.F.lit(-1))
     got = {r.doc_id: r for r in suffix_dedup.deduplicated_documents(docs).collect()}
+    assert all(r.run == "own" and r.n_bytes == -1 for r in got.values())
     assert got[0].text == whole and got[1].text == "x" and got[2].text is None and got[3].text == "" and got[1].n_chars == 1
 
 

@@ -233,3 +233,17 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert set(mixed) <= {r.doc_id for r in kept["suffix_dedup"]} and max(map(mixed.count, set(mixed))) <= 3
     assert sorted(r.doc_id for r in kept["packing"]) == sorted(mixed)
     assert sorted(map(tuple, P.run(spark, sf).collect()), key=repr) == sorted(map(tuple, kept["packing"]), key=repr)
+
+
+def test_pipeline_stages_take_awkward_rows(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, None, "en", None, None), (None, "some words here", "en", "a", 15), (2, "", "en", "a", 0), (3, "w " * 50000, "en", "a", 100000), (3, "w " * 50000, "en", "a", 100000), (4, "some words here", None, "b", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for column in ("run", "toxicity", "copies", "bucket", "size", "kept_id"):
+        docs = docs.withColumn(column, common.F.lit("own"))
+    for table in (docs, docs.limit(0)):
+        rows = table
+        for name, stage in P.STAGES:
+            rows = common.materialize(stage(spark, rows, sf), name)
+            assert name == "packing" or (rows.columns == docs.columns and rows.where("run <> 'own' or size <> 'own' or bucket <> 'own'").isEmpty())
