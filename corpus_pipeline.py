@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import DOCUMENT_COLUMNS, materialize
+from corpusloom.llm.common import materialize
 from corpusloom.llm.minhash import near_duplicates
 from corpusloom.llm.mixing import mixed_documents
 from corpusloom.llm.packing import packed_documents
@@ -19,25 +19,24 @@ from corpusloom.llm.toxicity import CUTOFF, score, train, training_labels
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the cutoff."""
-    docs = docs.select(*DOCUMENT_COLUMNS)
     model = train(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score(docs, model, out="toxicity").where(F.col("toxicity") < CUTOFF).select(*DOCUMENT_COLUMNS)
+    return score(docs, model, out="__toxicity").where(F.col("__toxicity") < CUTOFF).drop("__toxicity")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 100-byte strings that also start earlier."""
-    return deduplicated_documents(docs.select(*DOCUMENT_COLUMNS))
+    return deduplicated_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
-    return mixed_documents(docs.select(*DOCUMENT_COLUMNS))
+    return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
