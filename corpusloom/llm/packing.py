@@ -95,3 +95,35 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_layer(k: int) -> str:
+    """Least padding of the cells up to j in at most k buckets, and the boundaries; fewer buckets and an earlier begin win ties."""
+    return f"""
+m{k} AS (
+  SELECT c.j, min(p.cost + c.top * (c.n - p.n) - (c.m - p.m)) AS cost, arg_min(p.ends, (p.cost + c.top * (c.n - p.n) - (c.m - p.m)) * 100000 + p.j) AS ends
+  FROM cells c JOIN p{k - 1} p ON p.j < c.j GROUP BY c.j),
+p{k} AS (
+  SELECT p.j, p.n, p.m, CASE WHEN m.cost < p.cost THEN m.cost ELSE p.cost END AS cost, CASE WHEN m.cost < p.cost THEN list_append(m.ends, c.top) ELSE p.ends END AS ends
+  FROM p{k - 1} p LEFT JOIN m{k} m USING (j) LEFT JOIN cells c USING (j))"""
+
+
+ORACLE_PACKING = f"""
+WITH sized AS (
+  SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS length FROM documents),
+grouped AS (
+  SELECT CASE WHEN length < 1024 THEN length ELSE (length >> CAST(floor(log2(length)) - 8 AS INT)) << CAST(floor(log2(length)) - 8 AS INT) END AS cell, max(length) AS top, count(*) AS rows, CAST(sum(length) AS BIGINT) AS tokens
+  FROM sized WHERE length >= 1 GROUP BY 1),
+cells AS (
+  SELECT row_number() OVER (ORDER BY cell) AS j, top, CAST(sum(rows) OVER (ORDER BY cell) AS BIGINT) AS n, CAST(sum(tokens) OVER (ORDER BY cell) AS BIGINT) AS m FROM grouped),
+p0 AS (
+  SELECT 0 AS j, 0 AS n, 0 AS m, 0 AS cost, CAST([] AS BIGINT[]) AS ends
+  UNION ALL SELECT j, n, m, 1000000000000, CAST([] AS BIGINT[]) FROM cells),
+{",".join(map(_sql_layer, range(1, BUCKETS + 1)))},
+best AS (SELECT unnest(ends) AS pad_to, generate_subscripts(ends, 1) - 1 AS bucket, unnest(list_concat([0], ends[1:len(ends) - 1])) AS above FROM p{BUCKETS} WHERE j = (SELECT max(j) FROM cells)),
+ranked AS (
+  SELECT s.*, b.bucket, b.pad_to, row_number() OVER (PARTITION BY b.bucket ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, length) - 1 AS r
+  FROM sized s LEFT JOIN best b ON s.length > b.above AND s.length <= b.pad_to)
+SELECT doc_id, length, CAST(bucket AS INTEGER) AS bucket, pad_to, CASE WHEN bucket IS NOT NULL THEN r // greatest(1, {TOKEN_BUDGET} // pad_to) END AS batch,
+  CASE WHEN bucket IS NOT NULL THEN r % greatest(1, {TOKEN_BUDGET} // pad_to) END AS slot FROM ranked
+"""

@@ -51,3 +51,25 @@ def op7_sharding(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     return shard(rows, [1.0] * 8).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _sql_draw(shard: int) -> str:
+    return f"CAST('0x' || substr(md5(k || '#{shard}'), 1, 13) AS BIGINT)"
+
+
+#: With equal weights the greatest draw wins; CRC-32 is folded over the bytes by its table.
+ORACLE_SHARDING = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+dealt AS (
+  SELECT doc_id, text, md5(k) AS h, [{", ".join(map(_sql_draw, range(9)))}] AS u FROM keyed),
+placed AS (
+  SELECT *, list_position(u[1:8], list_max(u[1:8])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown FROM dealt)
+SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
+  CAST(xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS BIGINT) AS text_crc32,
+  'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM placed, crc
+"""
