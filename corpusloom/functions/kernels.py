@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def text_kernel(function, schema: str):
     return F.pandas_udf(run if names else run_one, returnType=kind)
 
 
+def column_kernel(function, kind: str):
+    """A column function of one text column; `function` takes a list of texts and gives as many values. Null texts give null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        there = texts.notna()
+        out = pd.Series([None] * len(texts), dtype=object)
+        out[there.to_numpy()] = pd.Series(function(texts[there].tolist()), index=np.flatnonzero(there), dtype=object)
+        return out
+
+    return F.pandas_udf(run, returnType=T._parse_datatype_string(kind))
+
+
 def split_lines(text: str) -> list[str]:
     """Lines end at LF or CRLF; a trailing line end adds no line."""
     return [] if text == "" else re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text))

@@ -8,23 +8,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.kernels import text_kernel
+from corpusloom.functions.kernels import column_kernel, text_kernel
 from corpusloom.functions.text import sentences, shingles, trim_space, word_total, words
 
 MIN_WORDS, MAX_WORDS, WINDOW = 8, 40, 20
 HASHES, DIM, SHINGLE = 128, 384, 5
 SAME_SLOTS = 103  # more than 0.8 of 128
 SIMILAR = np.float32(0.8)
+_BLOCK = 512
 NARRATIVE = (
     r"(?iU)\b(I had|I remember|I once|I worked with|I saw|I met|there was a|there was an|she said|he said|they said|told me"
     r"|my (client|patient|daughter|son|friend|colleague)|years ago|one day|a client of mine)\b"
 )
-#: White space of Unicode; Python's \s takes the separators \x1c to \x1f too.
+#: Python's white space has the separators \x1c to \x1f, Unicode's has not.
+_separators = re.compile("[\x1c-\x1f]")
 _words = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 
 
 def split_words(text: str) -> list[str]:
-    return _words.findall(text)
+    return _words.findall(text) if _separators.search(text) else text.split()
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,42 +46,88 @@ def sentence_shingles(rows: DataFrame, key: str = "doc_id", k: int = SHINGLE) ->
     return fit.select(key, "sent_no", F.posexplode(shingles(F.col("__w"), k)).alias("shingle_no", "shingle"))
 
 
-def _shingle_texts(sentence: str) -> list[bytes]:
-    w = split_words(sentence)
-    return [sentence.encode()] if len(w) < SHINGLE else [" ".join(w[i : i + SHINGLE]).encode() for i in range(len(w) - SHINGLE + 1)]
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers_of_31(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """31 ** i and its inverse modulo 2 ** 64."""
+    global _powers
+    if len(_powers[0]) < n:
+        up, down = np.full(max(n, 1 << 14), 31, np.uint64), np.full(max(n, 1 << 14), pow(31, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+    return _powers
+
+
+def minhashes(texts: list[str], n: int = HASHES) -> np.ndarray:
+    """A row for each text: the least h_i(s) over its shingles s (the text itself if it has fewer words).
+
+    h_i folds bytes by h * 31 + b from i, so h_i(s) = h_0(s) + i * 31 ** len(s); h_0 of all shingles
+    comes from one running sum over the bytes of all texts.
+    """
+    parts, starts, ends, counts, at = [], [], [], [], 0
+    for text in texts:
+        words_ = [w.encode() for w in split_words(text)]
+        raw = b" ".join(words_) if len(words_) >= SHINGLE else text.encode()
+        if len(words_) >= SHINGLE:
+            sizes = np.fromiter(map(len, words_), np.int64, len(words_))
+            stop = np.cumsum(sizes + 1) - 1 + at
+            starts.append((stop - sizes)[: len(words_) - SHINGLE + 1])
+            ends.append(stop[SHINGLE - 1 :])
+        else:
+            starts.append(np.array([at]))
+            ends.append(np.array([at + len(raw)]))
+        counts.append(len(starts[-1]))
+        parts.append(raw)
+        at += len(raw)
+    if not texts:
+        return np.zeros((0, n), np.uint64)
+    up, down = _powers_of_31(at + 1)
+    sums = np.zeros(at + 1, np.uint64)
+    np.cumsum(np.frombuffer(b"".join(parts), np.uint8) * down[:at], out=sums[1:])
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    zero = np.where(end > start, (sums[end] - sums[start]) * up[np.maximum(end - 1, 0)], np.uint64(0))
+    power, seeds = up[end - start], np.arange(n, dtype=np.uint64)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    out, i = np.empty((len(texts), n), np.uint64), 0
+    while i < len(texts):  # some thousand shingles at a time
+        j = max(i + 1, int(np.searchsorted(first, first[i] + 4096, side="right")) - 1)
+        part = slice(first[i], first[j])
+        h = zero[part, None] + seeds[None] * power[part, None]
+        out[i:j] = np.minimum.reduceat(h, first[i:j] - first[i], axis=0)
+        i = j
+    return out
 
 
 def minhash(sentence: str, n: int = HASHES) -> np.ndarray:
-    """Least of h_i(s) over the shingles; h_i folds bytes by h * 31 + b from i, so h_i(s) = h_0(s) + i * 31 ** len(s)."""
-    mask = (1 << 64) - 1
-    zero, power = [], []
-    for s in _shingle_texts(sentence):
-        h = 0
-        for b in s:
-            h = (h * 31 + b) & mask
-        zero.append(h)
-        power.append(pow(31, len(s), 1 << 64))
-    seeds = np.arange(n, dtype=np.uint64)
-    return (np.array(zero, np.uint64)[:, None] + seeds[None] * np.array(power, np.uint64)[:, None]).min(axis=0)
+    return minhashes([sentence], n)[0]
+
+
+def byte_vectors(texts: list[str]) -> np.ndarray:
+    """A unit row of 384 buckets for each text: byte b at place i of a word counts in (31 b + i) mod 384, by 1 / words."""
+    owners, sizes, shares, raw = [], [], [], []
+    for t, text in enumerate(texts):
+        words_ = [w.encode() for w in split_words(text)]
+        sizes += map(len, words_)
+        owners += [t] * len(words_)
+        shares += [1 / len(words_)] * len(words_) if words_ else []
+        raw += words_
+    size = np.array(sizes, np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    bucket = np.repeat(np.array(owners, np.int64), size) * DIM + (data * 31 + place) % DIM
+    out = np.bincount(bucket, np.repeat(np.array(shares, np.float64), size), len(texts) * DIM).reshape(len(texts), DIM).astype(np.float32)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
 
 
 def byte_vector(sentence: str) -> np.ndarray:
-    """Unit vector of 384 buckets: byte b at place i of a word counts in (31 b + i) mod 384, by 1 / words."""
-    w = split_words(sentence)
-    out = np.zeros(DIM, np.float32)
-    if not w:
-        return out
-    share = np.float32(1.0) / np.float32(len(w))
-    for word in w:
-        raw = np.frombuffer(word.encode(), np.uint8).astype(np.int64)
-        np.add.at(out, (raw * 31 + np.arange(len(raw))) % DIM, share)
-    norm = np.sqrt((out * out).sum(dtype=np.float32))
-    return out / norm if norm > 0 else out
+    return byte_vectors([sentence])[0]
 
 
 def minhash_signatures(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, sent_no, signature (unsigned 64-bit values as signed) of the sentences that take part in the cascade."""
-    kernel = text_kernel(lambda t: minhash(t).view(np.int64).tolist(), "array<long>")
+    kernel = column_kernel(lambda texts: list(minhashes(texts).view(np.int64)), "array<long>")
     fit = rows.where(F.col("n_words").between(MIN_WORDS, MAX_WORDS))
     return fit.select(key, "sent_no", kernel(F.col("sentence")).alias("signature"))
 
@@ -95,18 +143,22 @@ def cascade(pieces: list[str]) -> tuple[list[int], list[int], list[int]]:
     others = [i for i, n in enumerate(counts) if not MIN_WORDS <= n <= MAX_WORDS]
     if not fit:
         return [], others, []
-    sig = np.stack([minhash(pieces[i]) for i in fit])
-    vec = np.stack([byte_vector(pieces[i]) for i in fit])
+    texts = [pieces[i] for i in fit]
+    sig, vec = minhashes(texts), byte_vectors(texts)
     alive, kept = np.ones(len(fit), bool), []
-    for i in range(len(fit)):
-        if not alive[i]:
+    for low in range(0, len(fit), _BLOCK):  # similarities of a block of sentences to all later ones
+        block = slice(low, low + _BLOCK)
+        if not alive[block].any():
             continue
-        kept.append(fit[i])
-        later = np.flatnonzero(alive[i + 1 :]) + i + 1
-        if len(later):
-            same = (sig[later] == sig[i]).sum(1) >= SAME_SLOTS
-            near = np.clip(vec[later] @ vec[i], -1, 1) > SIMILAR
-            alive[later[same | near]] = False
+        near = vec[block] @ vec[low:].T > SIMILAR
+        for i in range(low, min(low + _BLOCK, len(fit))):
+            if alive[i]:
+                kept.append(fit[i])
+                later = np.flatnonzero(alive[i + 1 :]) + i + 1
+                if len(later):
+                    alive[later[near[i - low, later - low]]] = False
+                    later = later[alive[later]]
+                    alive[later[(sig[later] == sig[i]).sum(1) >= SAME_SLOTS]] = False
     return kept, others, [fit[i] for i in np.flatnonzero(~alive)]
 
 

@@ -19,6 +19,17 @@ def cosine(a, b):
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def _dot(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v):
+    """The array in double precision, by its length; zeros where that is 0."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
 def greedy_dedup(rows: DataFrame, group: str, order: str, vector: str, threshold: float = 0.8, window: int = WINDOW) -> DataFrame:
     """group, order, kept, kept_order, similarity: in order, a row goes if its nearest of the last `window` kept rows is near enough.
 
@@ -57,11 +68,11 @@ def extractive_summary(rows: DataFrame, group: str, order: str, vector: str, win
     at most `window` of them, so a group of n rows makes at most n * window products.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = rows.select(group, order, F.col(vector).alias("v")).withColumn("n", n).where(F.col("n") >= SUMMARY_FROM)
+    ranked = rows.select(group, order, unit(F.col(vector)).alias("v")).withColumn("n", n).where(F.col("n") >= SUMMARY_FROM)
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("stride", F.ceil(F.col("n") / window))
     marks = ranked.where("r % stride = 0").select(F.col(group).alias("__g"), F.col("r").alias("mr"), F.col("v").alias("mv"))
     pairs = ranked.join(marks, (F.col(group) == F.col("__g")) & (F.col("r") != F.col("mr")))
-    scored = pairs.groupBy(group, order, "n").agg(F.avg(cosine(F.col("v"), F.col("mv"))).alias("centrality"))
+    scored = pairs.groupBy(group, order, "n").agg(F.avg(_dot(F.col("v"), F.col("mv"))).alias("centrality"))
     take = F.greatest(F.lit(SUMMARY_LEAST), F.least(F.round(F.col("n") * SUMMARY_SHARE).cast("int"), F.least(F.lit(SUMMARY_MOST), F.col("n").cast("int"))))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.round("centrality", 9).desc(), order)))
     return best.where(F.col("rank") <= take).select(group, order, F.round("centrality", 6).alias("centrality"))
@@ -69,7 +80,7 @@ def extractive_summary(rows: DataFrame, group: str, order: str, vector: str, win
 
 def pairs_over(rows: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
     """group, a, b, similarity of the pairs of one group (a before b) at or over a threshold."""
-    left = rows.select(F.col(group), F.col(order).alias("a"), F.col(vector).alias("va"))
-    right = rows.select(F.col(group).alias("__g"), F.col(order).alias("b"), F.col(vector).alias("vb"))
-    both = left.join(right, (F.col(group) == F.col("__g")) & (F.col("a") < F.col("b"))).withColumn("similarity", cosine(F.col("va"), F.col("vb")))
+    left = rows.select(F.col(group), F.col(order).alias("a"), unit(F.col(vector)).alias("va"))
+    right = rows.select(F.col(group).alias("__g"), F.col(order).alias("b"), unit(F.col(vector)).alias("vb"))
+    both = left.join(right, (F.col(group) == F.col("__g")) & (F.col("a") < F.col("b"))).withColumn("similarity", _dot(F.col("va"), F.col("vb")))
     return both.where(F.round("similarity", 9) >= threshold).select(group, "a", "b", F.round("similarity", 6).alias("similarity"))

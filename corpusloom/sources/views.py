@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, core_bytes: int = 32 << 20) -> DataFrame:
+    """The rows dealt over all cores where the input is small: a file's splits may then hold no row group; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= core_bytes * cores else df.repartition(cores)
+
+
 def joined(df: DataFrame, key: str, order: list[str], piece: Column, sep: str, begin: str = "", end: str = "") -> DataFrame:
     """doc_id, text: the pieces of each key in order."""
     rows = df.select(F.col(key).alias("doc_id"), F.struct(*order, piece.alias("piece")).alias("s"))
@@ -28,7 +35,7 @@ def _text(c) -> Column:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def log_docs(spark, sf_dir) -> DataFrame:
@@ -146,7 +153,7 @@ def every_view(spark, sf_dir) -> DataFrame:
         rows = view(spark, sf_dir).select(F.lit(name).alias("view"), "doc_id", "text")
         out = rows if out is None else out.unionByName(rows)
     talk = table(spark, sf_dir, "conversations").select(F.lit("talk").alias("view"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return out.unionByName(talk)
+    return spread(out.unionByName(talk))
 
 
 def view_lines(docs: DataFrame) -> DataFrame:
