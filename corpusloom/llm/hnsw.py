@@ -334,3 +334,19 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
 
 def op6_hnsw(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_HNSW = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+length AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM good),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM length p JOIN length q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+  WHERE list_reduce(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2]), lambda a, b: a + b) / (p.n * q.n) >= 0.95),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a) USING (vec_id)
+"""
