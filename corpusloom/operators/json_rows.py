@@ -277,9 +277,38 @@ def outlier_items(items: DataFrame, key: str = "doc_id") -> DataFrame:
     return errors.unionByName(structural).groupBy(key, "item").agg(F.min("tier").alias("tier"))
 
 
+def _tiers(items: DataFrame, key: str) -> DataFrame:
+    """`items` (key, pos, item, n, json, is_object, fields) with tier: 0 for errors, 1 for structural outliers, else null.
+
+    The rules of `rare_fields` and `rare_status` as windows over the fields, so arrays are parsed once; one shuffle
+    by array and field serves all of them. Rows of one value stand together by falling count, so the rows before a
+    value's first are those of the values before it.
+    """
+    error = F.col("is_object") & F.lower("json").rlike("|".join(ERROR_KEYWORDS))
+    rows = items.select(key, "pos", "item", "n", "json", "is_object", error.alias("error"), F.explode_outer("fields").alias("f"))
+    rows = rows.withColumn("name", F.col("f.name")).withColumn("value", F.coalesce("f.value", F.lit("__none__"))).withColumn("null", F.col("f.tag") == "null")
+    field, value = Window.partitionBy(key, "name"), Window.partitionBy(key, "name", "value")
+    rows = rows.repartition(key, "name")
+    rows = rows.withColumn("total", F.count("name").over(field)).withColumn("c", F.count(F.lit(1)).over(value))
+    by_count = field.orderBy(F.col("c").desc(), "value")
+    rows = rows.withColumn("kind", F.dense_rank().over(by_count)).withColumn("top", F.rank().over(by_count) - 1 < F.ceil(F.col("total") * PARETO))
+    only_null = F.max(F.col("null").cast("int")).over(field) - F.max((~F.col("null") & (F.col("value") == "__none__") & F.col("null").isNotNull()).cast("int")).over(field)
+    kinds = F.max("kind").over(field) - F.greatest(only_null, F.lit(0))
+    rows = rows.withColumn("kinds", kinds).withColumn("n_top", F.max(F.when(F.col("top"), F.col("kind"))).over(field))
+    rare = F.col("total") < F.col("n") * RARE_FIELD
+    odd = (F.col("total") >= F.col("n") * COMMON_FIELD) & F.col("kinds").between(2, MOST_VALUES) & (F.col("n_top") <= TOP_VALUES) & ~F.col("top")
+    outlier = F.col("name").isNotNull() & (F.col("n") >= 5) & (rare | odd)
+    whole = rows.groupBy(key, "item").agg(
+        *[F.first(c).alias(c) for c in ("pos", "n", "json", "is_object")],
+        F.array_sort(F.collect_list("f")).alias("fields"),
+        F.min(F.when(F.col("error"), 0).when(outlier, 1)).alias("tier"),
+    )
+    return whole.select(key, "pos", "item", "n", "json", "is_object", "fields", "tier")
+
+
 def row_selection(items: DataFrame, edge: int = 5, key: str = "doc_id") -> DataFrame:
     """`items` with kept: all of a short array; else the edges and the first 2 * edge others by tier and place."""
-    rows = items.join(outlier_items(items, key), [key, "item"], "left")
+    rows = _tiers(items, key)
     at_edge = (F.col("item") < edge) | (F.col("item") >= F.col("n") - edge) | (F.col("n") <= 2 * edge)
     rows = rows.withColumn("edge", at_edge)
     claim = Window.partitionBy(key).orderBy((F.col("edge") | F.col("tier").isNull()).cast("int"), "tier", "item")
@@ -301,16 +330,16 @@ def invariant_facts(runs: DataFrame, limits: FactLimits = FactLimits(), key: str
 
     Text is compared by code points; credentials and unsafe values are withheld.
     """
-    units = runs.where("is_object")
-    sizes = units.groupBy(key, "run").agg(F.count(F.lit(1)).alias("units"))
-    fields = units.select(key, "run", "item", F.explode("fields").alias("f")).select(key, "run", "item", "f.name", "f.raw")
+    units = runs.where("is_object").withColumn("units", F.count(F.lit(1)).over(Window.partitionBy(key, "run")))
+    fields = units.select(key, "run", "item", "units", F.explode("fields").alias("f")).select(key, "run", "item", "units", "f.name", "f.raw")
     fields = fields.where(~F.col("name").rlike(CREDENTIAL))
     number = F.col("raw").rlike(r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)\z")
     fields = fields.withColumn("num", F.when(number, F.col("raw").try_cast("double")))
-    values = fields.groupBy(key, "run", "name", "raw").agg(F.count(F.lit(1)).alias("c"), F.min("item").alias("first"), F.first("num").alias("num"))
+    values = fields.groupBy(key, "run", "name", "raw").agg(F.count(F.lit(1)).alias("c"), F.min("item").alias("first"), F.first("num").alias("num"), F.first("units").alias("units"))
     unsafe = (F.octet_length("raw") >= limits.max_value_len) | F.contains("raw", F.lit(" "))
     prefix, digits = F.regexp_extract("raw", r"(?s)^(.*?)([0-9]+)\z", 1), F.regexp_extract("raw", r"(?s)^(.*?)([0-9]+)\z", 2)
     facts = values.groupBy(key, "run", "name").agg(
+        F.first("units").alias("units"),
         F.sum("c").alias("present"),
         F.count(F.lit(1)).alias("distinct"),
         F.min("raw").alias("low"),
@@ -324,7 +353,6 @@ def invariant_facts(runs: DataFrame, limits: FactLimits = FactLimits(), key: str
         F.count_distinct(prefix, F.length(digits)).alias("shapes"),
         (F.max(digits.try_cast("decimal(38,0)")) - F.min(digits.try_cast("decimal(38,0)")) + 1).alias("span"),
     )
-    facts = facts.join(sizes, [key, "run"])
     long = lambda c: (F.octet_length(c) >= limits.max_value_len) | F.contains(F.col(c), F.lit(" "))
     absent = F.col("units") - F.col("present")
     constant = (absent == 0) & (F.col("distinct") == 1)

@@ -181,6 +181,27 @@ def cascade_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, cascade_kernel()(sentences(F.col(text))).alias("c")).select(key, "c.*")
 
 
+def kept_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", include_embedding: bool = False) -> DataFrame:
+    """key, place, sent_no, sentence, shape, embedding (null unless asked for, or not compared) of the sentences that stay."""
+
+    def run(pieces) -> list[tuple]:
+        pieces = list(pieces)
+        kept, others, _ = cascade(pieces)
+        rows = byte_vectors([pieces[i] for i in kept]).tolist() if include_embedding and kept else [None] * len(kept)
+        return [(i, pieces[i], v) for i, v in zip(kept, rows, strict=True)] + [(i, pieces[i], None) for i in others]
+
+    kernel = text_kernel(run, "array<struct<sent_no:int,sentence:string,embedding:array<float>>>")
+    rows = docs.select(key, F.posexplode(kernel(sentences(F.col(text)))).alias("place", "s")).select(key, "place", "s.*")
+    return sentence_shapes(rows).select(key, "place", "sent_no", "sentence", "shape", "embedding")
+
+
+def word_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 300) -> DataFrame:
+    """key, chunk, words: groups of `size` words for a model that labels words; its labels come back by (key, chunk)."""
+    rows = docs.select(key, words(F.col(text)).alias("w"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int")), lambda i: F.slice("w", i * size + 1, size))
+    return rows.where(F.size("w") > 0).select(key, F.posexplode(cut).alias("chunk", "words"))
+
+
 def restore_punctuation(docs: DataFrame, text: str = "text", labels: str = "labels", out: str = "restored", marks=("", ".", ",", "?", "-", ":")) -> DataFrame:
     """Words joined by blanks, each with its label's mark; the first word and words after . or ? get a capital."""
     rows = docs.withColumn("__w", words(F.col(text)))

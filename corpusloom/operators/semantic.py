@@ -30,6 +30,14 @@ def unit(v):
     return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
+def mean_pool(tokens, mask):
+    """Unit mean of the token vectors (array of arrays) whose mask is 1; zeros if there are none."""
+    used = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["t"])
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda _: F.lit(0.0))
+    total = F.aggregate(used, zero, lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
+    return unit(F.transform(total, lambda x: x / F.greatest(F.size(used), F.lit(1))))
+
+
 def greedy_dedup(rows: DataFrame, group: str, order: str, vector: str, threshold: float = 0.8, window: int = WINDOW) -> DataFrame:
     """group, order, kept, kept_order, similarity: in order, a row goes if its nearest of the last `window` kept rows is near enough.
 

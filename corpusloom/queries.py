@@ -17,6 +17,8 @@ from corpusloom.operators.line_runs import collapse_runs
 from corpusloom.operators.logs import classify_lines, compress_logs
 from corpusloom.operators.prepass import strip_blobs, strip_line_numbers
 from corpusloom.operators.search import compress_search
+from corpusloom.plans.catalog import catalog
+from corpusloom.plans.digest import digests
 from corpusloom.plans.levels import LEVELS
 from corpusloom.plans.router import compress
 from corpusloom.sources import views as V
@@ -534,6 +536,29 @@ def route_search(spark, sf_dir):
     return compress(V.search_docs(spark, sf_dir)).select("doc_id", "compressed", "kind", "source", "chars_before")
 
 
+@query()
+def session_digests(spark, sf_dir):
+    return digests(V.transcripts(spark, sf_dir)).select("session", "digest", "kind", "source", "chars_before", "chars_after", "turn_count", "is_error")
+
+
+@query()
+def kept_sentences(spark, sf_dir):
+    return prose.kept_sentences(V.documents(spark, sf_dir), include_embedding=True).select("doc_id", "place", "sent_no", "sentence", "shape", F.size("embedding").alias("dims"))
+
+
+@query(
+    """SELECT doc_id, generate_subscripts(c, 1) - 1 AS chunk, len(unnest(c)) AS n_words FROM (
+      SELECT doc_id, list_transform(range(0, CAST(ceil(len(w) / 300) AS BIGINT)), lambda i: w[i * 300 + 1:i * 300 + 300]) AS c FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents) WHERE len(w) > 0)""")
+def word_chunks(spark, sf_dir):
+    rows = prose.word_chunks(V.documents(spark, sf_dir))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("words").cast("long").alias("n_words"))
+
+
+@query()
+def operator_catalog(spark, sf_dir):
+    return catalog(spark)
+
+
 @query()
 def environment_checks(spark, sf_dir):
     return doctor(spark, sf_dir).select("name", "status")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import strict_json as S
 from corpusloom.functions.register import register
 from corpusloom.operators import json_rows as J
-from corpusloom.operators import semantic, sessions, shape_model, toon
+from corpusloom.operators import prose, semantic, sessions, shape_model, toon
 from corpusloom.operators.doctor import age_text, doctor, exit_code
+from corpusloom.plans.catalog import catalog, observed
+from corpusloom.plans.digest import digests
 from corpusloom.plans.levels import FactLimits, JsonLimits, level
 from corpusloom.plans.router import compress, contract_json
 from corpusloom.sources import io
@@ -267,6 +269,29 @@ def test_greedy_and_summary(spark):
     assert best == sorted(np.argsort(-mean)[:8].tolist())
 
 
+def test_mean_pool(spark):
+    rows = [(0, [[3.0, 0.0], [9.0, 9.0], [3.0, 8.0]], [1, 0, 1]), (1, [[1.0, 1.0]], [0])]
+    got = spark.createDataFrame(rows, "n int, t array<array<double>>, m array<int>").select("n", semantic.mean_pool(F.col("t"), F.col("m")).alias("v")).orderBy("n").collect()
+    assert got[0].v == pytest.approx([0.6, 0.8]) and got[1].v == [0.0, 0.0]
+
+
+def test_digests_and_kept_sentences(spark):
+    a = "The committee reviewed the annual budget in great detail on monday morning."
+    say = json.dumps({"type": "user", "sessionId": "q", "message": {"content": f"{a} Tiny. {a}"}})
+    t = spark.createDataFrame([("s", 0, say), ("e", 0, "junk")], "session string, line_index int, line string")
+    got = {r.session: r for r in digests(t).collect()}
+    assert got["s"].digest.startswith("SESSION DIGEST q\n") and got["s"].digest.endswith(f"USER: {a} Tiny. {a}\n") and not got["s"].is_error and got["s"].source == "dedup"
+    assert got["e"].digest is None and got["e"].is_error and not [r for r in digests(t, start_line=1).collect() if r.is_error]
+    kept = prose.kept_sentences(io.literal(spark, f"{a} Tiny. {a} I remember that."), include_embedding=True).orderBy("place").collect()
+    assert [(r.sent_no, r["shape"], r.embedding and len(r.embedding)) for r in kept] == [(0, "Concept", 384), (1, "Concept", None), (3, "Narrative", None)]
+
+
+def test_catalog_and_observation(spark):
+    assert {r.name for r in catalog(spark).collect()} >= {"compress", "collapse_runs", "row_selection", "session_items"}
+    rows, seen = observed(io.literal(spark, "ab", "c"), "stage", "text")
+    assert rows.count() == 2 and seen.get == {"rows": 2, "bytes": 3}
+
+
 # ---- shapes, router, sources, streams
 
 
