@@ -221,7 +221,7 @@ def test_pipeline_stage_by_stage(spark, sf):
             assert rows.columns == columns
     clean = {r.doc_id for r in kept["toxicity"]}
     assert clean >= set(before) - toxic and all(before[r.doc_id].text == r.text for r in kept["toxicity"])
-    from test_text_operators import brute_components, brute_repeats
+    from test_corpus_text import brute_components, brute_repeats
 
     first = [(r.doc_id, r.text) for r in kept["toxicity"]]
     assert {r.doc_id for r in kept["minhash"]} == {c[0] for c in brute_components(first) if c[3]}
