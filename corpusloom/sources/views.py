@@ -55,20 +55,20 @@ def _json_piece(nested: bool, uniform: bool = False) -> Column:
 
 
 def json_docs(spark, sf_dir) -> DataFrame:
-    return joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], _json_piece(False), ",", "[", "]")
+    return spread(joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], _json_piece(False), ",", "[", "]"))
 
 
 def json_docs_nested(spark, sf_dir) -> DataFrame:
-    return joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], _json_piece(True), ",", "[", "]")
+    return spread(joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], _json_piece(True), ",", "[", "]"))
 
 
 def json_docs_uniform(spark, sf_dir) -> DataFrame:
-    return joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], _json_piece(False, True), ",", "[", "]")
+    return spread(joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], _json_piece(False, True), ",", "[", "]"))
 
 
 def json_docs_repeated(spark, sf_dir) -> DataFrame:
     piece = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","third":'), _text(F.col("event_id") % 3), F.lit("}"))
-    return joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], piece, ",", "[", "]")
+    return spread(joined(table(spark, sf_dir, "events"), "user_id", ["event_id"], piece, ",", "[", "]"))
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
