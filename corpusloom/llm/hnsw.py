@@ -3,8 +3,9 @@
 Equal vectors are one class from the start. Classes are dealt into shards by a hash; each shard builds
 a hierarchical navigable small-world graph. Every class is searched for in every shard by a beam
 search in lockstep for a block of queries. A query whose whole beam still lies within the threshold is
-searched again with a wider beam, and in each tile a sample of queries is audited against all rows
-of the shard: until the audit's recall reaches the target, the beam is doubled, in the end to the whole shard.
+compared with all rows of the shard, and in each tile a sample of queries is audited against all rows: unless the share
+of queries with all their links and the recall of their nearest rows reach the target, the whole tile is computed
+by a blocked product, which is exact and misses no row that the graph cuts off.
 
 A tile returns a count for each query and, of its links, a spanning forest, so that a dense
 group does not send all its pairs.
@@ -26,7 +27,8 @@ QUERY_BLOCK, LOCKSTEP = 4096, 1024
 BLOCKS_A_TASK = 4
 DEGREE, BEAM, STRIDE = 24, 32, 4
 THRESHOLD = 0.95
-AUDITED, AUDIT_RECALL = 48, 0.995
+AUDITED, AUDIT_RECALL, AUDIT_NEAREST = 48, 0.995, 8
+PRODUCT_BLOCK = 512
 _UPPER = 16
 
 
@@ -196,32 +198,72 @@ def _grow(x, layers, cls):
     return links
 
 
+def _by_product(rows: np.ndarray, unit: np.ndarray, near: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (query, row) of cosine >= near, by a blocked product."""
+    found = []
+    for lo in range(0, len(unit), PRODUCT_BLOCK):
+        i, j = np.nonzero(unit[lo : lo + PRODUCT_BLOCK] @ rows.T >= near)
+        found.append((i + lo, j))
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+def _by_beams(graph: Graph, unit: np.ndarray, beam: int, near: np.float32):
+    """Pairs of cosine >= near that beams find, and the beams. Queries whose whole beam is within go to the product."""
+    ids, sims = graph.search(unit, beam)
+    over = sims[:, -1] >= near
+    rows, cols = np.nonzero((sims >= near) & ~over[:, None])
+    cols = ids[rows, cols]
+    if over.any():
+        full = np.flatnonzero(over)
+        r, c = _by_product(graph.x, unit[full], near)
+        rows, cols = np.concatenate([rows, full[r]]), np.concatenate([cols, c])
+    return rows, cols, ids, sims
+
+
+class _Audit:
+    """True links and nearest cosines of a sample of queries, without the queries themselves."""
+
+    def __init__(self, graph: Graph, x: np.ndarray, q: np.ndarray, unit: np.ndarray, near: np.float32):
+        self.at = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
+        sims = unit[self.at] @ graph.x.T
+        i, j = np.nonzero(sims >= np.float32(1 - 1e-5))
+        own = (x[j] == q[self.at[i]]).all(1)
+        sims[i[own], j[own]] = -np.inf
+        self.n, self.own = len(x), set(zip(self.at[i[own]].tolist(), j[own].tolist(), strict=True))
+        self.true = (sims >= near).sum(1)
+        k = min(AUDIT_NEAREST, self.n)
+        self.nearest = -np.sort(np.partition(-sims, k - 1, axis=1)[:, :k], axis=1)
+
+    def passes(self, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> bool:
+        """Of the queries with links, the share that has them all, and the share of the nearest rows found, reach the target."""
+        here = np.isin(rows, self.at)
+        links = np.zeros(len(ids), np.int64)
+        for i, j in zip(rows[here].tolist(), cols[here].tolist(), strict=True):
+            links[i] += (i, j) not in self.own
+        some = self.true > 0
+        if some.any() and (links[self.at] >= self.true)[some].mean() < AUDIT_RECALL:
+            return False
+        hit = wanted = 0
+        for k, i in enumerate(self.at.tolist()):
+            want = self.nearest[k][np.isfinite(self.nearest[k])]
+            if len(want):
+                other = np.array([j >= 0 and (i, j) not in self.own for j in ids[i].tolist()])
+                wanted += len(want)
+                hit += min(len(want), int((sims[i][other] >= want[-1] - 1e-6).sum()))
+        return hit >= AUDIT_RECALL * wanted
+
+
 def links_within(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) of cosine >= threshold in double precision, found by beams widened until the audit passes."""
+    """Pairs (query, row) of cosine >= threshold in double precision, by beams if their audit passes, else by the product."""
     unit = (q / norms(q)[:, None]).astype(np.float32)
-    n = len(x)
     near = np.float32(threshold - 1e-5)
-    audited = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-    true = (unit[audited] @ graph.x.T >= near).sum()
-    beam = min(BEAM, n)
-    while True:
-        ids, sims = graph.search(unit, beam)
-        rows, cols = np.nonzero(sims >= near)
-        pairs = [(rows, ids[rows, cols])]
-        wide, full = beam, np.flatnonzero(sims[:, -1] >= near)
-        while len(full) and wide < n:
-            wide = min(n, 4 * wide)
-            more, ms = graph.search(unit[full], wide)
-            r, c = np.nonzero(ms >= near)
-            pairs = [(p[0][~np.isin(p[0], full)], p[1][~np.isin(p[0], full)]) for p in pairs]
-            pairs.append((full[r], more[r, c]))
-            full = full[ms[:, -1] >= near]
-        rows, cols = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        if np.isin(rows, audited).sum() >= AUDIT_RECALL * true or beam >= n:
-            break
-        beam = min(n, 2 * beam)
-    exact = np.empty(len(rows))
+    found = _by_beams(graph, unit, BEAM, near) if BEAM * DEGREE < len(x) else None
+    if found is not None and _Audit(graph, x, q, unit, near).passes(*found):
+        rows, cols = found[:2]
+    else:
+        rows, cols = _by_product(graph.x, unit, near)
     nq, nx = norms(q), norms(x)
+    exact = np.empty(len(rows))
     for at in range(0, len(rows), 1 << 16):
         i, j = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
         exact[at : at + (1 << 16)] = dots(q[i], x[j]) / (nq[i] * nx[j])

@@ -121,6 +121,40 @@ def test_graph_recall(n):
     assert near[i, j].all() and len(i) >= 0.99 * near.sum()
 
 
+def cut_off(x, rows):
+    """A graph over the unit rows whose links to `rows` are cut."""
+    links = hnsw.Graph.build(x).links
+    return hnsw.Graph(x, [], np.where(np.isin(links, rows), -1, links))
+
+
+def planted(kind):
+    rng = np.random.default_rng(4)
+    n = 3000
+    x = rng.normal(size=(n, 24))
+    if kind == "tight group":  # larger than DEGREE, unreachable
+        rows = np.arange(1000, 1060)
+        x[rows] = x[1000] + 0.01 * rng.normal(size=(len(rows), 24))
+    elif kind == "hot group":  # a third of the rows; pairs among the others, unreachable
+        x[:1000] = x[0] + 0.01 * rng.normal(size=(1000, 24))
+        x[2000:] = x[1000:2000] + 0.01 * rng.normal(size=(1000, 24))
+        rows = np.arange(1000, n)
+    else:  # pairs of rows that no audited query links with
+        audited = np.linspace(0, n - 1, hnsw.AUDITED).astype(int)
+        free = np.setdiff1d(np.arange(1, n), audited)
+        rows = free[::2][:1000]
+        x[rows[:50]] = x[free[1::2][:50]] + 0.01 * rng.normal(size=(50, 24))
+    return x, rows
+
+
+@pytest.mark.parametrize("kind", ["tight group", "hot group", "sparse pairs"])
+def test_links_that_the_graph_cuts_off_are_found(kind):
+    x, rows = planted(kind)
+    unit = (x / norms(x)[:, None]).astype(np.float32)
+    i, j = hnsw.links_within(cut_off(unit, rows), x, x)
+    true = np.argwhere(cosines(x) >= hnsw.THRESHOLD)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(map(tuple, true.tolist()))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(7, 7), (1, 2), (2, 1), (3, 1)]
