@@ -2,7 +2,8 @@
 
 Channel: a writer hides letters as look-alike digits and signs, spaces or dots letters apart, and
 repeats letters. A hidden word is a lattice of what each of its characters may stand for; Viterbi
-decoding under a character trigram model picks its likeliest reading. The model counts the trigrams
+decoding under a character trigram model picks its likeliest reading. Four or more characters apart are a run of any
+length, read both as one word and with the likeliest word breaks. The model counts the trigrams
 of all words of the corpus. Plain words read as themselves and skip the lattice.
 
 Score: of the restored words, those whose beginning or whole is far commoner in toxic documents are
@@ -16,6 +17,7 @@ model counts everything.
 from __future__ import annotations
 
 import math
+import os
 import re
 from dataclasses import dataclass, field
 
@@ -41,6 +43,7 @@ _RUN = re.compile(r"(.)\1\1")
 _SPLIT = re.compile(r"[\W\d_]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡-_*~`/\\"
 _LONGEST = 40
+_SETTLE = 64
 _REMEMBERED = 20_000
 _PIECE = 1 << 20
 _CODES = np.zeros(256, np.int32)
@@ -113,10 +116,25 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest reading of an obfuscated word (Viterbi over pairs of letters)."""
-    states = {(0, 0): (0.0, "")}
-    for options in lattice(word):
+def _broken(options: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """The readings, and the same with a word break before them or inside a pair."""
+    inside = [(f"{t[0]} {t[1]}", c) for t, c in options if len(t) == 2]
+    return [*options, *inside, *((f" {t}", c) for t, c in options + inside)]
+
+
+def decode(word: str, model: np.ndarray, breaks: bool = False) -> str:
+    """The likeliest reading of an obfuscated word (Viterbi over pairs of letters); with `breaks`, of a run of words.
+
+    What all states begin with is settled as the pass goes, so that time is linear in the length.
+    """
+    states, settled = {(0, 0): (0.0, "")}, []
+    for at, options in enumerate(lattice(word)):
+        if breaks:
+            options = _broken(options)
+        if at % _SETTLE == _SETTLE - 1:
+            shared = os.path.commonprefix([t for _, t in states.values()])
+            settled.append(shared)
+            states = {k: (v, t[len(shared) :]) for k, (v, t) in states.items()}
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
             for letters, cost in options:
@@ -124,11 +142,17 @@ def decode(word: str, model: np.ndarray) -> str:
                 for letter in letters:
                     z = code(letter)
                     s += model[x, y, z]
-                    x, y = (y, z)
+                    x, y = (y, z) if z else (0, 0)
                 if (x, y) not in new or new[x, y][0] < s:
                     new[x, y] = (s, text + letters)
         states = new
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+    return "".join(settled) + max((score + model[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+
+
+def single(token: str) -> str:
+    """The one character that a token is, punctuation around it apart; empty if it has more."""
+    bare = token.strip(_EDGES)
+    return bare if len(bare) == 1 else token if len(token) == 1 else ""
 
 
 @dataclass
@@ -155,7 +179,7 @@ class Reader:
             return tuple(p for p in _SPLIT.split(bare) if p)
         parts = [p for p in re.split("[" + re.escape(SEPARATORS) + "]+", bare) if p]
         if len(parts) >= 4 and all(len(p) == 1 for p in parts):
-            parts = ["".join(parts)]
+            return tuple(sorted(self.spaced("".join(parts))))
         out = []
         for part in parts:
             if _LETTER.search(part) and (_SIGNS.search(part) or _RUN.search(part)):
@@ -164,6 +188,12 @@ class Reader:
                 out += [p for p in _SPLIT.split(part) if p]
         return tuple(out)
 
+    def spaced(self, run: str) -> set[str]:
+        """Readings of letters that were apart: as one word, and as several."""
+        if not _LETTER.search(run):
+            return set()
+        return {decode(run, self.model), *decode(run, self.model, True).split()}
+
     def words(self, text: str | None) -> tuple[set[str], int]:
         """Distinct restored words of a text and its number of tokens."""
         tokens = (text or "").lower().split()
@@ -173,15 +203,13 @@ class Reader:
                 found.add(token)
             else:
                 found.update(self.read(token))
-        lengths = bytes([1 if len(t) == 1 else 0 for t in tokens])
+        singles = [single(t) if len(t) == 1 or not t.isalpha() else "" for t in tokens]
+        lengths = bytes([1 if t else 0 for t in singles])
         at = lengths.find(b"\1\1\1\1")
         while at >= 0:
-            end = at
-            while end < len(tokens) and lengths[end]:
-                end += 1
-            joined = "".join(tokens[at:end])
-            if _LETTER.search(joined) and len(joined) <= 4 * _LONGEST:
-                found.add(decode(joined, self.model))
+            end = lengths.find(b"\0", at)
+            end = len(tokens) if end < 0 else end
+            found.update(self.spaced("".join(singles[at:end])))
             at = lengths.find(b"\1\1\1\1", end)
         return found, len(tokens)
 

@@ -261,6 +261,12 @@ def test_spaced_words_are_restored():
     assert reader.words("plain words 2024 55")[0] >= {"plain", "words"}
 
 
+@pytest.mark.parametrize("text,word", [("a s t u p i d", "stupid"), ("y o u s t u p i d", "stupid"), ("m o r o n. s h i t.", "shit"), ("s h i t..........", "shit"), ("m.o.r.o.n.s.t.u.p.i.d", "stupid"), ("y o u " * 100 + "s t u p 1 d", "stupid")])
+def test_spaced_runs_have_word_breaks(text, word):
+    reader = toxicity.Reader(model_of(["moron", "stupid", "shit", "you", "a"]))
+    assert word in reader.words(text)[0]
+
+
 def brute_decode(word, model):
     best = None
 
