@@ -42,6 +42,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
 _SPLIT = re.compile(r"[\W\d_]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡-_*~`/\\"
+#: Signs at a word's edges that stand for no letter.
+_PLAIN_EDGES = "".join(c for c in _EDGES if c not in LOOKALIKES)
 _LONGEST = 40
 _SETTLE = 64
 _REMEMBERED = 20_000
@@ -164,7 +166,7 @@ class Reader:
 
     def read(self, word: str) -> tuple[str, ...]:
         """The words that one token stands for."""
-        bare = word.strip(_EDGES)
+        bare = word.strip(_PLAIN_EDGES)
         if bare.isalpha() and not _RUN.search(bare):
             return (bare,)
         got = self.seen.get(word)
@@ -184,6 +186,9 @@ class Reader:
         for part in parts:
             if _LETTER.search(part) and (_SIGNS.search(part) or _RUN.search(part)):
                 out.append(decode(part, self.model))
+                plain = part.strip(_EDGES)
+                if plain != part and plain.isalpha():  # the signs may be punctuation
+                    out.append(decode(plain, self.model) if _RUN.search(plain) else plain)
             else:
                 out += [p for p in _SPLIT.split(part) if p]
         return tuple(out)

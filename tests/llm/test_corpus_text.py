@@ -267,6 +267,11 @@ def test_spaced_runs_have_word_breaks(text, word):
     assert word in reader.words(text)[0]
 
 
+@pytest.mark.parametrize("token,word", [("!diot", "idiot"), ("!d!ot", "idiot"), ("¡diot,", "idiot"), ("(lown", "clown"), ("idiot!", "idiot"), ("(idiot)", "idiot"), ("idiooot!!", "idiot")])
+def test_signs_at_the_edges_may_be_letters(token, word):
+    assert word in toxicity.Reader(model_of(["moron", "idiot", "clown"])).words(f"so {token} there")[0]
+
+
 def brute_decode(word, model):
     best = None
 
