@@ -44,6 +44,7 @@ _SPLIT = re.compile(r"[\W\d_]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡-_*~`/\\"
 #: Signs at a word's edges that stand for no letter.
 _PLAIN_EDGES = "".join(c for c in _EDGES if c not in LOOKALIKES)
+#: Longer parts are read as several words too.
 _LONGEST = 40
 _SETTLE = 64
 _REMEMBERED = 20_000
@@ -177,7 +178,7 @@ class Reader:
         return got
 
     def _restore(self, word: str, bare: str) -> tuple[str, ...]:
-        if len(bare) > _LONGEST or not _LETTER.search(word):
+        if not _LETTER.search(word):
             return tuple(p for p in _SPLIT.split(bare) if p)
         parts = [p for p in re.split("[" + re.escape(SEPARATORS) + "]+", bare) if p]
         if len(parts) >= 4 and all(len(p) == 1 for p in parts):
@@ -186,6 +187,9 @@ class Reader:
         for part in parts:
             if _LETTER.search(part) and (_SIGNS.search(part) or _RUN.search(part)):
                 out.append(decode(part, self.model))
+                if len(part) > _LONGEST:  # may hold several words
+                    out += [p for p in _SPLIT.split(part) if p]
+                    out += decode(part, self.model, True).split()
                 plain = part.strip(_EDGES)
                 if plain != part and plain.isalpha():  # the signs may be punctuation
                     out.append(decode(plain, self.model) if _RUN.search(plain) else plain)

@@ -272,6 +272,21 @@ def test_signs_at_the_edges_may_be_letters(token, word):
     assert word in toxicity.Reader(model_of(["moron", "idiot", "clown"])).words(f"so {token} there")[0]
 
 
+@pytest.mark.parametrize("token", [".".join("youareamoronyouidiotyou"), "i" * 60 + "diot", "1d10" + "o" * 60 + "t", "idiot" + "(1)" * 20, "xyz" * 20 + "1d10t"])
+def test_long_tokens_are_decoded(token):
+    found = toxicity.Reader(model_of(["moron", "idiot", "you", "are", "a", "xyz"])).words(token)[0]
+    assert len(token) > 40 and any("idiot" in w for w in found), found
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_settling_changes_no_reading(monkeypatch, breaks):
+    model, rng = model_of(["moron", "idiot", "you"]), random.Random(6)
+    words = ["".join(rng.choice("m0r1d!ootyu(") for _ in range(300)) for _ in range(5)]
+    settled = [toxicity.decode(w, model, breaks) for w in words]
+    monkeypatch.setattr(toxicity, "_SETTLE", 10**6)
+    assert settled == [toxicity.decode(w, model, breaks) for w in words]
+
+
 def brute_decode(word, model):
     best = None
 
