@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all run in one process, a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not spark.sparkContext.getCheckpointDir():
@@ -24,18 +26,56 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
+class _Written(threading.local):
+    """Tables that this thread has written to the shared folder and not deleted, by path."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: short lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _written.paths.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        if path := table.__dict__.get("written_to"):
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if (jvm := getattr(spark, "_jvm", None)) is not None and path in _written.paths:
+        _written.paths.remove(path)
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of `build`, materialized; the tables that it wrote on the way are deleted."""
+    before = list(_written.paths)
+    out = materialize(build(), label)
+    for path in [p for p in _written.paths if p not in before and p != out.written_to]:
+        _delete(spark, path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,16 +83,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
-    """Bytes of `df`: the optimizer's estimate where it comes from the files themselves, else a sum over the texts."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    estimate = int(str(plan.stats().sizeInBytes()))
-    if estimate < 1 << 60 and "Join" not in plan.toString():
-        return estimate
+    """Bytes of the texts, from one pass over that column."""
     return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
-    """0-based rank of each row inside its group, by (bucket, order), as the column `out`.
+def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str, tie: str | None = None) -> DataFrame:
+    """0-based rank of each row inside its group, by (bucket, order), as the column `out`; `tie`: the place among rows of equal order, from 0.
 
     No task sees a whole group: rows are ranked inside (group, bucket) and shifted by the
     total of the buckets before, which come from a table of one row for each bucket.
@@ -63,9 +99,12 @@ def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Colum
     keys = [*group, bucket]
     inside = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn("__r", F.row_number().over(inside) - 1)
+    ties = [] if tie is None else [(F.col("__r") + 1 - F.col("__first")).cast("int").alias(tie)]
+    if ties:
+        ranked = ranked.withColumn("__first", F.rank().over(inside))
     on = [ranked[k].eqNullSafe(offsets[k]) for k in keys]
     joined = ranked.join(offsets, on)
-    return joined.select(*[ranked[c] for c in df.columns if c != out], (F.col("__r") + F.col("__off")).cast("long").alias(out))
+    return joined.select(*[ranked[c] for c in df.columns if c not in (out, tie)], (F.col("__r") + F.col("__off")).cast("long").alias(out), *ties)
 
 
 def _forest(batches):
@@ -114,7 +153,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), "hi").distinct()
         best = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(best, "hi").where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        e = materialize(small.unionByName(best.select(F.col("m").alias("lo"), "hi")).distinct(), "cc")
+        old, e = e, materialize(small.unionByName(best.select(F.col("m").alias("lo"), "hi")).distinct(), "cc")
+        release(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == last:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

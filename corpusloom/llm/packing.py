@@ -63,9 +63,11 @@ def optimal_boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[
     return ends[::-1]
 
 
-def pack(rows: DataFrame, length: str = "length", key: str = "doc_id", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+def pack(rows: DataFrame, length: str = "length", key: str = "doc_id", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, copy: str | None = None) -> DataFrame:
     """`rows` with bucket (from 0, by boundary), pad_to, batch (from 0 in its bucket) and slot (from 0 in its batch).
 
+    `copy`: a column for the place among rows of equal key and length, from 0. Columns that have these names are replaced.
+
     Each batch has at most max(1, token_budget // pad_to) sequences, so its padded tokens stay within
     the budget unless one sequence alone exceeds it. Null lengths and lengths below 1 have no batch
     (bucket null). Rows are dealt in MD5 order of the key; equal keys are rows of their own.
@@ -81,7 +83,7 @@ def pack(rows: DataFrame, length: str = "length", key: str = "doc_id", buckets:
     filled = own >= 1
     dealt = rows.withColumn("bucket", F.when(filled, bucket)).withColumn("pad_to", F.when(filled, pad_to))
     dealt = dealt.withColumn("__h", F.md5(name)).withColumn("__b", F.substring("__h", 1, 2))
-    ranked = gapless_rank(dealt, ["bucket"], "__b", [F.col("__h"), F.col(f"`{key}`"), own], "__rank").drop("__h", "__b")
+    ranked = gapless_rank(dealt, ["bucket"], "__b", [F.col("__h"), F.col(f"`{key}`"), own], "__rank", copy).drop("__h", "__b")
     per = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("pad_to"))).cast("long")
     ranked = ranked.withColumn("batch", F.when(F.col("bucket").isNotNull(), F.floor(F.col("__rank") / per).cast("long")))
     return ranked.withColumn("slot", F.when(F.col("bucket").isNotNull(), F.pmod("__rank", per))).drop("__rank")
@@ -93,6 +95,11 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     return pack(sized).select("doc_id", "length", "bucket", "pad_to", "batch", "slot")
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """`docs` with all columns and length (words), bucket, pad_to, batch, slot and copy."""
+    return pack(docs.withColumn("length", word_count()), copy="copy")
+
+
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import gapless_rank
 
-#: Rows of a shard are ranked in so many hash buckets, for any number of rows a task can sort.
-BUCKETS = 256
-
 
 def uniform(key: Column, shard: int) -> Column:
     """A number in (0, 1) from 52 bits of MD5; the same in any engine."""
@@ -30,16 +27,17 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (-F.array_max(F.array(*draws))["shard"]).cast("int")
 
 
-def shard(docs: DataFrame, weights: list[float], key: str = "doc_id", grown_by: float = 1.0) -> DataFrame:
+def shard(docs: DataFrame, weights: list[float], key: str = "doc_id", grown_by: float = 1.0, then: tuple[str, ...] = ()) -> DataFrame:
     """`docs` with shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard of weight `grown_by`).
 
     Keys are compared as text; a null key counts as the empty text. Rows with equal keys share a
-    shard and get slots of their own. Slots follow MD5 of the key, then the key.
+    shard and get slots of their own. Slots follow MD5 of the key, then the key, then the columns `then`, so that rows that
+    are equal in all of these alone may change places between runs.
     """
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     dealt = docs.withColumn("shard", rendezvous(name, weights)).withColumn("grown_shard", rendezvous(name, [*weights, grown_by]))
     dealt = dealt.withColumn("__h", F.md5(name)).withColumn("__b", F.substring("__h", 1, 2))
-    return gapless_rank(dealt, ["shard"], "__b", [F.col("__h"), F.col(f"`{key}`")], "slot").drop("__h", "__b")
+    return gapless_rank(dealt, ["shard"], "__b", [F.col("__h"), F.col(f"`{key}`"), *(F.col(f"`{c}`") for c in then)], "slot").drop("__h", "__b")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def op7_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    return shard(rows, [1.0] * 8).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return shard(rows, [1.0] * 8, then=("size", "text_crc32")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def _sql_draw(shard: int) -> str:
