@@ -8,14 +8,17 @@ distance. A pair of sets with Jaccard similarity 0.85 has an expected distance o
 exceeds 21 with a probability below 3e-4. Over all 256 symbols it has 38, and exceeds 62 with a
 probability below 3e-5; candidates beyond that are not worth reading their texts.
 
-Equal sets are one class from the start. A bucket of the index is resolved without listing its
-pairs: each member is first compared with the bucket's smallest id; only buckets that still hold
-several components list the pairs between components that are within the distance. Links are
-confirmed on the full shingle sets.
+Texts of the same words in the same order are one class from the start, known by a cryptographic digest of them. A
+bucket of the index is resolved without listing its pairs: each member is first compared with the bucket's
+smallest id; only buckets that still hold several components list the pairs between components that are within
+the distance, in tiles of bounded size. Hashes only propose: links are confirmed on the full sets, whose shingles
+are told apart by their words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import components, materialize
+from corpusloom.llm.common import components, materialize, release
 
 SHINGLE = 5
 CHUNKS, WIDTH = 11, 6
@@ -31,9 +34,16 @@ INDEXED, SYMBOLS = CHUNKS * WIDTH, 256
 DISTANCE = 21  # among the indexed symbols; at most 2 * CHUNKS - 1, so that some chunk has at most one error
 FULL_DISTANCE = 62  # among all symbols
 PERCENT = 85
-#: Members of one leader that are compared in one task.
+#: Members of one leader that are compared in one task; of a leader with more than FAN ** 2 members, the root of their number.
 FAN = 256
+#: Parts that the pairs of a leader with more than FAN members are dealt into before they are joined.
+SPREAD = 256
+#: Rows of a bucket on each side of a tile.
+TILE = 2048
+#: Five numbers below this make one number below 2 ** 63.
+RADIX = 6208
 _MASK = (1 << 64) - 1
+_M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(seed: int) -> int:
@@ -43,22 +53,8 @@ def _mix(seed: int) -> int:
     return z ^ (z >> 31)
 
 
-_BYTE = np.array([_mix(i) | 1 for i in range(256)], np.uint64)
-_BASE = np.uint64(_mix(1000) | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _XOR = np.array([_mix(2000 + i) & 0xFFFFFFFF for i in range(SYMBOLS)], np.uint32)
 _MUL = np.array([(_mix(3000 + i) & 0xFFFFFFFF) | 1 for i in range(SYMBOLS)], np.uint32)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,25 +62,74 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_hashes(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the distinct k-word shingles, sorted; fewer than k words make one shingle."""
+def shingle_numbers(texts: list[np.ndarray], radix: int, k: int = SHINGLE) -> list[np.ndarray]:
+    """A number for each shingle of texts given as numbers of words from 1 to radix - 1; equal if and only if the words are.
+
+    A text of fewer than k words is one shingle, which equals no longer one. Where the digits would not fit, what
+    has been read of the shingles is numbered anew, over all texts together.
+    """
+    filled = [np.concatenate([np.zeros(k - len(t), np.int64), t]) if 0 < len(t) < k else t for t in texts]  # 0 is no word
+    counts = [max(len(t) - k + 1, 0) for t in filled]
+    key, below = np.zeros(sum(counts), np.int64), 1
+    for j in range(k):
+        if below * radix >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            below = int(key.max(initial=0)) + 1
+        key, below = key * radix + np.concatenate([t[j : j + n] for t, n in zip(filled, counts, strict=True)]), below * radix
+    return np.split(key, np.cumsum(counts)[:-1])
+
+
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each distinct shingle; two shingles with one hash are still two."""
     if not words:
         return np.zeros(0, np.uint64)
-    n = len(words)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    first, last = (starts[:1], ends[-1:]) if n < k else (starts[: n - k + 1], ends[k - 1 :])
-    h = (sums[last] - sums[first]) * down[first]
-    h ^= (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return np.unique(h)
+    numbers: dict[bytes, int] = {}
+    ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64)
+    (key,) = shingle_numbers([ids], len(numbers) + 1)
+    first = np.unique(key, return_index=True)[1]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)[ids - 1]
+    h = np.full(len(first), min(SHINGLE, len(words)), np.uint64)
+    for j in range(min(SHINGLE, len(words))):
+        h = (h ^ hashes[first + j]) * _M1
+        h ^= h >> np.uint64(32)
+        h *= _M2
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Leader:
+    """The shingle sets of the texts of one document, with which others are compared exactly."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.texts: list[np.ndarray] = []
+        self.sets: list[np.ndarray] | None = None
+
+    def add(self, words: list[bytes]) -> None:
+        ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
+        if not any(np.array_equal(ids, t) for t in self.texts):
+            self.texts.append(ids)
+            self.sets = None
+
+    def near(self, words: list[bytes]) -> bool:
+        """Whether a text of these words is linked with one of the document's."""
+        new: dict[bytes, int] = {}
+        known, base = self.numbers, len(self.numbers) + 1
+        ids = np.array([known.get(w) or new.setdefault(w, base + len(new)) for w in words], np.int64)
+        radix = base + len(new)
+        if radix <= RADIX:
+            if self.sets is None:
+                self.sets = [np.unique(x) for x in shingle_numbers(self.texts, RADIX)]
+            own, other = self.sets, np.unique(shingle_numbers([ids], RADIX)[0])
+        else:
+            *own, other = (np.unique(x) for x in shingle_numbers([*self.texts, ids], radix))
+        for one in own:
+            few, many = sorted((len(one), len(other)))
+            if few and 100 * few >= PERCENT * many:
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * both >= PERCENT * (few + many - both):
+                    return True
+        return False
 
 
 def signature(sets: list[np.ndarray]) -> np.ndarray:
@@ -112,15 +157,16 @@ def _sign(batches):
         ids, texts = batch.column(0), batch.column(1)
         at, n = 0, batch.num_rows
         while at < n:
-            sets, here = [], at
+            sets, fps, here = [], [], at
             total = 0
             while at < n and total < 2_000_000:
-                sets.append(shingle_hashes(words_of(texts[at].as_py())))
+                words = words_of(texts[at].as_py())
+                sets.append(shingle_hashes(words))
+                fps.append(hashlib.blake2b(b" ".join(words), digest_size=20).digest() if words else None)
                 total += len(sets[-1])
                 at += 1
             filled = [s for s in sets if len(s)]
             signed = iter(signature(filled)) if filled else iter(())
-            fps = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [next(signed).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([ids.slice(here, at - here).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], schema=_SIGNED)
 
@@ -146,7 +192,7 @@ def _keys(batches):
 def _cross(batches):
     """Pairs of different components in one bucket within the distance, each in its first common bucket only.
 
-    Takes rows (key, comp, rep, sig) sorted by key; a bucket is compared in blocks.
+    Takes rows (key, i, j, block, comp, rep, sig) sorted by tile (key, i, j): rows of block i meet those of block j.
     """
     held: list[tuple] = []
     out: list[tuple[int, int]] = []
@@ -154,15 +200,17 @@ def _cross(batches):
     def resolve():
         if len(held) < 2:
             return
-        number = held[0][0] >> 40
-        comp = np.array([h[1] for h in held])
-        rep = np.array([h[2] for h in held])
-        sig = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
-        for i in range(len(held) - 1):
-            others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        number, (i, j) = held[0][0] >> 40, held[0][1:3]
+        block = np.array([h[3] for h in held])
+        comp, rep = np.array([h[4] for h in held]), np.array([h[5] for h in held])
+        sig = np.frombuffer(b"".join(h[6] for h in held), np.uint8).reshape(len(held), -1)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at, own in enumerate(left):
+            others = right[at + 1 :] if i == j else right
+            others = others[comp[others] != comp[own]]
             if not len(others):
                 continue
-            differ = sig[others] != sig[i]
+            differ = sig[others] != sig[own]
             near = differ[:, :INDEXED].sum(1) <= DISTANCE
             near &= differ.sum(1) <= FULL_DISTANCE
             others, differ = others[near], differ[near, :INDEXED].reshape(-1, CHUNKS, WIDTH)
@@ -172,7 +220,9 @@ def _cross(batches):
                 rows = np.arange(len(others))
                 first = chunk * WIDTH + np.where(errors[rows, chunk] == 1, differ[rows, chunk].argmax(1), 0)
                 for o in others[first == number]:
-                    out.append((min(rep[i], rep[o]), max(rep[i], rep[o])))
+                    out.append((min(rep[own], rep[o]), max(rep[own], rep[o])))
+                if len(out) > 20000:
+                    yield flush()
 
     def flush():
         batch = pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -181,51 +231,60 @@ def _cross(batches):
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                resolve()
+            if held and held[0][:3] != row[:3]:
+                yield from resolve()
                 held.clear()
-                if len(out) > 20000:
-                    yield flush()
             held.append(row)
-    resolve()
+    yield from resolve()
     yield flush()
 
 
 def _confirm(batches):
-    """Links among rows (leader, salt, member, text) sorted so that each leader's own text (member null) comes first."""
-    own, leader = None, None
+    """Links among rows (leader, salt, member, text) sorted so that each leader's own texts (member null) come first."""
+    own, key = None, None
     a, b = [], []
     for batch in batches:
         for lead, salt, member, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = shingle_hashes(words_of(text))
+            if key != (lead, salt):
+                own, key = Leader(), (lead, salt)
             if member is None:
-                own, leader = words, (lead, salt)
-            elif leader == (lead, salt):
-                few, many = sorted((len(own), len(words)))
-                if 100 * few >= PERCENT * many:
-                    both = len(np.intersect1d(own, words, assume_unique=True))
-                    if 100 * both >= PERCENT * (few + many - both):
-                        a.append(lead)
-                        b.append(member)
+                own.add(words_of(text))
+            elif own.near(words_of(text)):
+                a.append(lead)
+                b.append(member)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         a, b = [], []
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with a salt, so that no (a, salt) has many more than FAN members.
+
+    The pairs of a leader with more than FAN members are in SPREAD parts when they learn the number of its salts, so
+    that they never meet in one task. The table of those leaders, once for each part, has at most as many rows as there are pairs.
+    """
+    n = F.col("n")
+    common = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(n > FAN)
+    salts = common.select("a", F.ceil(n / F.greatest(F.lit(float(FAN)), F.sqrt(n))).cast("int").alias("salts"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    parts = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    return parts.join(salts, ["a", "part"], "left").select("a", F.coalesce(F.pmod(F.xxhash64("b", F.lit(1)), "salts"), F.lit(0)).cast("int").alias("salt"), "b")
+
+
+def within(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The dealt `pairs` (a, salt, b) whose signatures (rep, sig) are within both distances."""
+    leaders = pairs.select("a", "salt").distinct().join(signatures.toDF("a", "sa"), "a")
+    return pairs.join(leaders, ["a", "salt"]).join(signatures.toDF("b", "sb"), "b").select("a", "salt", "b", "sa", "sb").mapInArrow(_within, "a long, salt int, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The `pairs` (a, b) whose full shingle sets meet the threshold.
+    """Those of the dealt `pairs` (a, salt, b) whose full shingle sets meet the threshold.
 
-    A leader's text goes once to each group of about FAN members, the members' texts beside it;
-    so no leader, however common, meets all its members in one task.
+    A leader's text goes once to each of its salts, the members' texts beside it; so no leader, however
+    common, meets all its members in one task. All texts are fetched by one join.
     """
-    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
-    salted = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), "fan").cast("int").alias("salt"), "b")
-    leaders = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
-    texts = docs.select(F.col("doc_id").alias("__id"), "text")
-    rows = leaders.join(texts, F.col("a") == F.col("__id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(
-        salted.join(texts, F.col("b") == F.col("__id")).select("a", "salt", "b", "text")
-    )
-    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_confirm, "a long, b long")
+    none = F.lit(None).cast("long")
+    wanted = pairs.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", none.alias("b")).unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
+    rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "salt", "b", "text")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -238,7 +297,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and link with nothing; texts with equal sets are linked;
     a row without doc_id links nothing and is kept on its own with a null component_id; repeated rows
-    give repeated rows. Other columns are ignored.
+    give repeated rows. Rows that share a doc_id are one document: what links with any of their texts links with
+    it, and each row has the n_shingles of its own text. Other columns are ignored. An empty table gives an empty result.
     """
     rows = materialize(signed(docs), "signed")
     classes = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
@@ -249,19 +309,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(shared, "buckets")
     first = shared.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     signatures = reps.select("rep", "sig")
-    first = (
-        first.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-        .mapInArrow(_within, "a long, b long")
-    )
     unique = docs.select("doc_id", "text").where("doc_id is not null")
-    links = materialize(confirmed(materialize(first, "pairs"), unique), "links")
+    pairs = materialize(within(dealt(first), signatures), "pairs")
+    links = materialize(confirmed(pairs, unique), "links")
+    release(pairs)
     found = components(links)
     label = F.coalesce("component", "rep")
     members = shared.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", label.alias("comp"), "rep")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_buckets = members.join(mixed, "key").join(signatures, "rep").select("key", "comp", "rep", "sig")
-    rest = open_buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_cross, "a long, b long")
-    more = materialize(confirmed(materialize(rest, "pairs"), unique), "links")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    mixed = mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    tiled = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.join(signatures, "rep").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "sig")
+    rest = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_cross, "a long, b long")
+    rest = materialize(rest.distinct(), "pairs")
+    more = materialize(confirmed(dealt(rest), unique), "links")
+    release(rest, shared)
     found = components(links.unionByName(more))
     roots = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", label.alias("component_id"))
     joined = rows.join(roots, "fp", "left")
@@ -270,13 +333,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _within(batches):
-    """Of rows (b, a, sa, sb) the pairs within both distances."""
+    """Of rows (a, salt, b, sa, sb) the pairs within both distances."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             differ = x != y
             near = pa.array((differ[:, :INDEXED].sum(1) <= DISTANCE) & (differ.sum(1) <= FULL_DISTANCE))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "salt", "b")], ["a", "salt", "b"])
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
