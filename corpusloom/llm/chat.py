@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, with DataFrame operations only.
 
 A turn is a role and an array of parts (type, text, ref, tokens). The visitor flattens the parts
-in order: text as it is with control strings escaped, any other type as a placeholder
+in order: text as it is with control strings escaped (adjacent text parts are one text), any other type as a placeholder
 `<|type:n|>` where n counts the attachments of the conversation from 0; it records each attachment's
 reference and the tokens the placeholder expands to. A conversation is
 `<|im_start|>role\\ntext<|im_end|>\\n` for each turn.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 #: Tokens that an attachment expands to where its part does not say.
@@ -42,30 +43,61 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
+def _parts(parts: Column) -> Column:
+    return F.coalesce(parts, F.array().cast("array<struct<type:string,text:string,ref:string,tokens:int>>"))
+
+
+def _attached(parts: Column) -> Column:
+    return F.filter(_parts(parts), lambda p: ~_is_text(p))
+
+
 def flatten_parts(parts: Column, first: Column) -> Column:
-    """Text of the parts of one turn; its attachments are numbered from `first`."""
+    """Text of the parts of one turn; its attachments are numbered from `first`.
+
+    Text parts between two attachments are joined before control strings are escaped, as a control string
+    may begin in one part and end in another. Each part is read once, however many there are.
+    """
+    own = _parts(parts)
+    marks = F.filter(F.transform(own, lambda p, i: F.when(~_is_text(p), i + 1)), lambda i: i.isNotNull())  # places of attachments, from 1
 
-    def visit(state: Column, part: Column) -> Column:
-        plain = escape(F.coalesce(part["text"], F.lit("")))
-        mark = F.concat(F.lit("<|"), F.regexp_replace(part["type"], "[^a-z]", "_"), F.lit(":"), state["n"].cast("string"), F.lit("|>"))
-        text = F.when(_is_text(part), plain).otherwise(mark)
-        return F.struct((state["n"] + F.when(_is_text(part), 0).otherwise(1)).alias("n"), F.concat(state["t"], text).alias("t"))
+    def run(at: Column, n: Column) -> Column:
+        """What follows attachment n - 1, up to attachment n and with its placeholder."""
+        before = F.when(n > 0, F.get(at, n - 1)).otherwise(0)
+        after = F.coalesce(F.get(at, n), F.size(own) + 1)
+        said = F.array_join(F.transform(F.slice(own, before + 1, after - before - 1), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        kind = F.regexp_replace(F.get(own, after - 1)["type"], "[^a-z]", "_")
+        mark = F.concat(F.lit("<|"), kind, F.lit(":"), (first + n).cast("string"), F.lit("|>"))
+        return F.concat(escape(said), F.when(n < F.size(at), mark).otherwise(""))
 
-    seed = F.struct(first.cast("int").alias("n"), F.lit("").alias("t"))
-    return F.aggregate(F.coalesce(parts, F.array().cast("array<struct<type:string,text:string,ref:string,tokens:int>>")), seed, visit)["t"]
+    # `marks` is bound once for all runs
+    runs = F.transform(F.array(marks), lambda at: F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), lambda n: run(at, n)), ""))
+    return F.get(runs, 0)
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, attachments, loss_spans, extra_tokens for rows (conv_id, turn, role, parts).
 
-    `loss_spans` are (start, length) in code points of the assistant texts in `formatted`. Null parts
-    are no parts, a null text or role is empty, a null type is text. Rows of a conversation are in
-    order of turn (null first), then role and texts, so repeated rows are repeated turns. A null
-    conv_id is one conversation. One conversation is one output row; its turns meet in one task.
+    `loss_spans` are the assistant texts in `formatted`: start and length in code points, byte_start and byte_length
+    in UTF-8. Null parts are no parts, a null text or role is empty, a null type is text. Rows of a conversation
+    are in order of turn (null first), then role and texts, so repeated rows are repeated turns. A null
+    conv_id is one conversation. Other columns are ignored, whatever their names; an empty table gives an empty result.
+
+    One conversation is one output row, put together in one task, in time linear in its length: running
+    sums over its sorted turns number the attachments and place the texts.
     """
-    rows = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.col("parts")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    attached = F.flatten(F.transform("turns", lambda t: F.filter(F.coalesce(t["parts"], F.array().cast("array<struct<type:string,text:string,ref:string,tokens:int>>")), lambda p: ~_is_text(p))))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.col("parts").asc_nulls_first())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    attached = F.size(_attached(F.col("parts")))
+    rows = rows.withColumn("i", F.row_number().over(order)).withColumn("first", earlier(attached))
+    rows = rows.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("body", flatten_parts(F.col("parts"), F.col("first")))
+    for name, size in (("start", F.length), ("byte_start", F.octet_length)):
+        whole = size(F.col("head")) + size(F.col("body")) + len(END) + 1
+        rows = rows.withColumn(name, (earlier(whole) + size(F.col("head"))).cast("int"))
+    span = F.struct("start", F.length("body").alias("length"), "byte_start", F.octet_length("body").alias("byte_length"))
+    turn = F.struct("i", F.concat("head", "body", F.lit(END + "\n")).alias("piece"), F.when(F.col("role") == "assistant", span).alias("span"), _attached(F.col("parts")).alias("attached"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def tokens(part: Column) -> Column:
         fixed = F.lit(0)
@@ -73,41 +105,28 @@ def format_chat(turns: DataFrame) -> DataFrame:
             fixed = F.when(part["type"] == kind, F.lit(n)).otherwise(fixed)
         return F.coalesce(part["tokens"], fixed)
 
-    def count(parts: Column) -> Column:
-        return F.size(F.filter(F.coalesce(parts, F.array().cast("array<struct<type:string,text:string,ref:string,tokens:int>>")), lambda p: ~_is_text(p)))
-
-    whole = whole.withColumn("attachments", F.transform(attached, lambda p, i: F.struct(i.alias("n"), p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens"))))
-    # attachments before each turn
-    before = F.transform("turns", lambda t, i: F.aggregate(F.slice("turns", 1, i), F.lit(0), lambda s, x: s + count(x["parts"])))
-    before = F.when(F.size("attachments") > 0, before).otherwise(F.transform("turns", lambda t: F.lit(0)))
-    whole = whole.withColumn("texts", F.zip_with("turns", before, lambda t, n: F.struct(escape_role(t["role"]).alias("role"), flatten_parts(t["parts"], n).alias("text"))))
-    piece = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))
-
-    def place(state: Column, t: Column) -> Column:
-        begins = state["at"] + F.length(t["role"]) + len(START) + 1
-        span = F.struct(begins.alias("start"), F.length(t["text"]).alias("length"))
-        spans = F.when(t["role"] == "assistant", F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((begins + F.length(t["text"]) + len(END) + 1).alias("at"), spans.alias("spans"))
-
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    spans = F.aggregate("texts", F.struct(F.lit(0).alias("at"), none.alias("spans")), place)["spans"]
+    attachments = F.transform(F.flatten("turns.attached"), lambda p, i: F.struct(i.alias("n"), p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
     return whole.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("texts", piece), "").alias("formatted"),
-        "attachments",
-        spans.alias("loss_spans"),
-        F.aggregate("attachments", F.lit(0), lambda s, a: s + a["tokens"]).alias("extra_tokens"),
+        F.array_join("turns.piece", "").alias("formatted"),
+        attachments.alias("attachments"),
+        F.filter("turns.span", lambda s: s.isNotNull()).alias("loss_spans"),
+        F.aggregate(attachments, F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("extra_tokens"),
     )
 
 
 def read_back(chat: DataFrame) -> DataFrame:
-    """The turns (role, text) parsed from `formatted`, and the unescaped texts under the loss mask, beside the other columns."""
+    """The turns (role, text) parsed from `formatted`, and the unescaped texts under the loss mask, beside the other columns.
+
+    Texts under the mask are cut out of the bytes, where any place is reached at once.
+    """
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
     body = lambda p: F.regexp_replace(F.substr(p, F.instr(p, F.lit("\n")) + 1), r"<\|im_end\|>\n\z", "")
     turns = F.transform(pieces, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(body(p)).alias("text")))
-    masked = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["length"])))
-    return chat.withColumn("turns", turns).withColumn("loss_texts", masked)
+    cut = lambda raw, s: F.decode(F.substr(raw, s["byte_start"] + 1, s["byte_length"]), "UTF-8")
+    masked = F.transform(F.array(F.col("formatted").cast("binary")), lambda raw: F.transform("loss_spans", lambda s: unescape(cut(raw, s))))
+    return chat.withColumn("turns", turns).withColumn("loss_texts", F.get(masked, 0))
 
 
 def text_part(text: Column) -> Column:
