@@ -7,12 +7,18 @@ is parsed: `with` binds tighter than `and`, `and` than `or`.
 
 The score says how freely the text may be used: 0 without any licence, else the least permissive of
 its notices and expressions, where `or` takes the better and `and` the worse side, and `with` an exception
-moves halfway towards 1.
+moves halfway towards 1. That all rights are reserved counts only in a text that names no licence, as many licences say so too.
+
+What notices and identifiers there are is a table (licenses.csv, or one of the caller's).
 """
 
 from __future__ import annotations
 
+import csv
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from importlib.resources import files
 
 import ahocorasick
 import pyarrow as pa
@@ -20,45 +26,72 @@ from pyspark.sql import DataFrame
 
 # The phrases and labels that the contract of the query names.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notice phrases of this operator, as words.
-NOTICES = {
-    "permission is hereby granted free of charge": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "permission to use copy modify and or distribute": "isc",
-    "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
-    "creative commons attribution": "cc-by",
-    "creative commons zero": "cc0",
-    "cc by sa": "cc-by-sa",
-    "cc by nd": "cc-by-nd",
-    "dedicated to the public domain": "public-domain",
-    "all rights reserved": "proprietary",
-}
-#: How freely a label's text may be used.
-PERMISSIVE = {
-    "mit": 1.0, "bsd": 1.0, "isc": 1.0, "apache-2": 1.0, "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9, "mpl": 0.6, "epl": 0.6,
-    "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "agpl": 0.2, "proprietary": 0.05,
-}
 UNKNOWN = 0.1
 _TAG = "spdx license identifier"
 _EXPRESSION = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*", re.I)
+_TOKEN = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.+\-]*)", re.I)
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BINDS = {"or": 1, "and": 2, "with": 3}
-#: The family label of an identifier, by its beginning; the longest that fits counts.
-FAMILIES = {
-    "mit": "mit", "apache-2": "apache-2", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl",
-    "epl": "epl", "cc0": "cc0", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "unlicense": "public-domain",
-}
 
 
-def family(identifier: str) -> str:
-    name = identifier.lower()
-    fits = [f for f in FAMILIES if name == f or name.startswith((f + "-", f + ".", f + "+"))]
-    return FAMILIES[max(fits, key=len)] if fits else name
+@dataclass(frozen=True)
+class Rules:
+    """Notices (words of a phrase: label), reservations (likewise), identifier families (beginning: label) and how freely a label's text may be used."""
+
+    notices: dict[str, str] = field(default_factory=dict)
+    reserves: dict[str, str] = field(default_factory=dict)
+    families: dict[str, str] = field(default_factory=dict)
+    permissive: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[str, str, str | None, float | str | None]]) -> Rules:
+        """From rows (kind, key, label, permissive) of the kinds notice, reserve, identifier and label."""
+        out = cls()
+        kinds = {"notice": out.notices, "reserve": out.reserves, "identifier": out.families}
+        for kind, key, label, permissive in rows:
+            if kind == "label":
+                out.permissive[key] = float(permissive)
+            elif kind == "identifier":
+                out.families[key.lower()] = label
+            else:
+                kinds[kind][" ".join(key.encode().translate(_KEEP).decode("latin-1").split())] = label
+        return out
+
+    def label(self, identifier: str) -> str:
+        """The family label of an identifier, by its beginning; the longest that fits counts, an unknown one is its own label."""
+        name = identifier.lower()
+        fits = [name[:n] for n in range(1, len(name) + 1) if (n == len(name) or name[n] in "-.+") and name[:n] in self.families]
+        return self.families[fits[-1]] if fits else name
+
+    def score(self, label: str) -> float:
+        return self.permissive.get(label, UNKNOWN)
+
+
+def _own_rules() -> Rules:
+    lines = files(__package__).joinpath("licenses.csv").read_text(encoding="utf-8").splitlines()
+    return Rules.of(tuple(r.values()) for r in csv.DictReader(lines))
+
+
+RULES = _own_rules()
+#: Rows of a caller's table of rules, which goes to the driver and into every task.
+MOST_RULES = 100_000
+
+
+def rules_of(table: DataFrame) -> Rules:
+    """Rules from a table (kind, key, label, permissive); one of more than MOST_RULES rows is refused."""
+    rows = table.select("kind", "key", "label", "permissive").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return Rules.of(tuple(r) for r in rows)
+
+
+def tokens_of(expression: str) -> list[str]:
+    """Parentheses and words up to the first character that is part of neither."""
+    out, at = [], 0
+    while found := _TOKEN.match(expression, at):
+        out.append(found[1])
+        at = found.end()
+    return out
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -66,7 +99,7 @@ def to_postfix(expression: str) -> list[str]:
     out: list[str] = []
     waiting: list[str] = []
     operand = True  # whether an operand comes next
-    for token in _TOKEN.findall(expression):
+    for token in tokens_of(expression):
         low = token.lower()
         if operand:
             if token == "(":
@@ -94,13 +127,13 @@ def to_postfix(expression: str) -> list[str]:
     return out + [w for w in reversed(waiting) if w != "("]
 
 
-def evaluate(expression: str) -> tuple[list[str], float | None]:
+def evaluate(expression: str, rules: Rules = RULES) -> tuple[list[str], float | None]:
     """Labels of a licence expression and how freely it may be used; (none, None) if it names no licence."""
     stack: list[tuple[list[str], float]] = []
     for token in to_postfix(expression):
         if token not in _BINDS:
-            label = family(token)
-            stack.append(([label], PERMISSIVE.get(label, UNKNOWN)))
+            label = rules.label(token)
+            stack.append(([label], rules.score(label)))
             continue
         right = stack.pop()
         left = stack.pop() if stack else ([], 1.0)
@@ -113,57 +146,66 @@ def evaluate(expression: str) -> tuple[list[str], float | None]:
     return [x for labels, _ in stack for x in labels], min(s for _, s in stack)
 
 
-def _automaton() -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for phrase in [*BASE_PHRASES, *NOTICES, _TAG]:
-        out.add_word(f" {phrase} ", phrase)
-    out.make_automaton()
-    return out
-
-
-_automata: list[ahocorasick.Automaton] = []
-
-
-def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
-    if not _automata:
-        _automata.append(_automaton())
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.translate(_KEEP).split()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    base, labels, scores, starts, tagged = set(), set(), [], [], False
-    for end, phrase in _automata[0].iter(line):
-        if phrase == _TAG:
-            tagged = True
-            continue
-        if phrase in BASE_PHRASES:
-            base.add(BASE_PHRASES[phrase])
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
-        label = BASE_PHRASES.get(phrase) or NOTICES[phrase]
-        labels.add(label)
-        scores.append(PERMISSIVE[label])
-    if tagged:
-        for found in _EXPRESSION.findall(raw):
-            named, score = evaluate(found.decode("utf-8", "replace"))
-            labels.update(x.replace(",", ";") for x in named)
-            if score is not None:
-                scores.append(score)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(scores, default=0.0)
+class Scanner:
+    """One automaton for the phrases of the contract, the rules' notices and reservations, and the tag."""
+
+    def __init__(self, rules: Rules = RULES):
+        self.rules = rules
+        self.found = ahocorasick.Automaton()
+        for phrase in {**rules.notices, **rules.reserves, **BASE_PHRASES, _TAG: ""}:
+            self.found.add_word(f" {phrase} ", (phrase, phrase.count(" ") + 1))
+        self.found.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
+        """n_words, n_base, first_word, last_word, base_labels, labels, score of one text, in time linear in its length."""
+        rules = self.rules
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        words = raw.translate(_KEEP).split()
+        line = (b" " + b" ".join(words) + b" ").decode("latin-1")
+        base, named, reserved, starts, tagged = set(), set(), set(), [], False
+        spaces = at = 0
+        for end, (phrase, n) in self.found.iter(line):
+            spaces, at = spaces + line.count(" ", at, end), end  # words up to the phrase's last
+            if phrase == _TAG:
+                tagged = True
+            elif phrase in BASE_PHRASES:
+                base.add(BASE_PHRASES[phrase])
+                starts.append(spaces - n)
+            elif phrase in rules.notices:
+                named.add(rules.notices[phrase])
+            else:
+                reserved.add(rules.reserves[phrase])
+        labels = base | named
+        scores = [rules.score(x) for x in labels]
+        if tagged:
+            for found in _EXPRESSION.findall(raw):
+                stated, score = evaluate(found.decode("utf-8", "replace"), rules)
+                labels.update(stated)
+                if score is not None:
+                    scores.append(score)
+        if not labels:
+            labels, scores = reserved, [rules.score(x) for x in reserved]
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(scores, default=0.0)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
-def _scan(batches):
-    for batch in batches:
-        found = [scan_text(t.as_py()) for t in batch.column(1)]
-        columns = list(zip(*found, strict=True)) if found else [[] for _ in range(7)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
+def scan(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of `docs` (doc_id, text).
+
+    A null or empty text has no words, empty labels and score 0; a null doc_id stays null; repeated rows give repeated
+    rows. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    """
 
+    def run(batches):
+        scanner = Scanner(rules)
+        for batch in batches:
+            found = [scanner.scan(t.as_py()) for t in batch.column(1)]
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in range(7)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text). A null or empty text has no words, empty labels and score 0."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
