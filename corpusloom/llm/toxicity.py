@@ -2,7 +2,8 @@
 
 Channel: a writer hides letters as look-alike digits and signs, spaces or dots letters apart, and
 repeats letters. A hidden word is a lattice of what each of its characters may stand for; Viterbi
-decoding under a character trigram model picks its likeliest reading. Four or more characters apart are a run of any
+decoding under a character trigram model picks its likeliest reading. A plain word with doubled letters is read as it is and as
+decoded, where a pair may stand for one letter. Four or more characters apart are a run of any
 length, read both as one word and with the likeliest word breaks. The model counts the trigrams
 of all words of the corpus. Plain words read as themselves and skip the lattice.
 
@@ -10,8 +11,8 @@ Score: of the restored words, those whose beginning or whole is far commoner in
 evidence, weighted by log odds. A logistic regression turns the strongest, the sum and the number of them into a
 probability; it is fitted on evidence that the other half of the training rows supplied.
 
-The classifier learns from at most `TRAIN_ROWS` labelled rows, the first in MD5 order of doc_id; the character
-model counts everything.
+The classifier learns from at most `TRAIN_ROWS` labelled documents, the first in MD5 order of doc_id; the character
+model counts everything. The evidence that the driver gathers is bounded by those documents' words.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import materialize, partitions, release
+
 TRAIN_ROWS = 8000
-MAX_FEATURES = 4096
 PREFIXES = (4, 5)
 CUTOFF = 0.7
+#: A word is evidence if so many toxic training rows and such a share of them have it, its log odds and its G statistic are above these.
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, LEAST_G = 3, 0.01, 2.0, 20.0
 #: What a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -40,6 +44,7 @@ SEPARATORS = ".-_*~'`,:/\\"
 _SIGNS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
+_PAIR = re.compile(r"(.)\1")
 _SPLIT = re.compile(r"[\W\d_]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡-_*~`/\\"
 #: Signs at a word's edges that stand for no letter.
@@ -168,7 +173,7 @@ class Reader:
     def read(self, word: str) -> tuple[str, ...]:
         """The words that one token stands for."""
         bare = word.strip(_PLAIN_EDGES)
-        if bare.isalpha() and not _RUN.search(bare):
+        if bare.isalpha() and not _PAIR.search(bare):
             return (bare,)
         got = self.seen.get(word)
         if got is None:
@@ -180,6 +185,8 @@ class Reader:
     def _restore(self, word: str, bare: str) -> tuple[str, ...]:
         if not _LETTER.search(word):
             return tuple(p for p in _SPLIT.split(bare) if p)
+        if bare.isalpha() and not _RUN.search(bare):
+            return (bare, decode(bare, self.model))
         parts = [p for p in re.split("[" + re.escape(SEPARATORS) + "]+", bare) if p]
         if len(parts) >= 4 and all(len(p) == 1 for p in parts):
             return tuple(sorted(self.spaced("".join(parts))))
@@ -208,7 +215,7 @@ class Reader:
         tokens = (text or "").lower().split()
         found: set[str] = set()
         for token in set(tokens):
-            if token.isalpha() and not _RUN.search(token):
+            if token.isalpha() and not _PAIR.search(token):
                 found.add(token)
             else:
                 found.update(self.read(token))
@@ -259,12 +266,12 @@ def _count(letters: np.ndarray):
 
 def _log_odds(p: float, n: float, pos: float, neg: float) -> float:
     """Log odds of a feature if it marks toxic documents significantly and often enough, else 0."""
-    if p < max(3, 0.01 * pos) or pos < 1 or neg < 1:
+    if p < max(LEAST_ROWS, LEAST_SHARE * pos) or pos < 1 or neg < 1:
         return 0.0
     odds = math.log((p + 0.5) / (pos + 1)) - math.log((n + 0.5) / (neg + 1))
     total, share = p + n, pos / (pos + neg)
     g = 2 * (p * math.log(p / (total * share)) + (n * math.log(n / (total * (1 - share))) if n else 0.0))
-    return min(odds, 8.0) if odds > 2 and g > 20 else 0.0
+    return min(odds, 8.0) if odds > LEAST_ODDS and g > LEAST_G else 0.0
 
 
 def _evidence_rows(letters, weights):
@@ -296,26 +303,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, letters: np.ndarray | None = None, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from the documents (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1.
 
-    Without labels of both kinds, all scores are the smoothed share of toxic rows.
+    Labels without a document, of null documents and of other values teach nothing; of a document's several labels the greatest
+    counts, of rows that share a doc_id the least text. Without labels of both kinds, all scores are the smoothed share of toxic rows.
     """
     letters = character_model(docs) if letters is None else letters
     key = F.md5(F.col("doc_id").cast("string"))
-    chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(key, "doc_id").limit(train_rows)
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(key, "doc_id").limit(train_rows)
     half = (F.conv(F.substring(key, 32, 1), 16, 10).cast("int") % 2).alias("half")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("text", "toxic", half).repartition(partitions(docs.sparkSession)), "train")
     sizes = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
     pos, neg = ([sizes.get((h, y), 0) for h in (0, 1)] for y in (1, 0))
     if not sum(pos) or not sum(neg):
+        release(rows)
         share = (sum(pos) + 0.5) / (sum(pos) + sum(neg) + 1)
         return Model(letters, {}, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
     counted = rows.mapInArrow(_count(letters), "feature string, p0 long, n0 long, p1 long, n1 long").groupBy("feature")
     counted = counted.agg(*(F.sum(c).alias(c) for c in ("p0", "n0", "p1", "n1")))
-    p, n = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
-    odds = F.log((p + 0.5) / (sum(pos) + 1)) - F.log((n + 0.5) / (sum(neg) + 1))
-    best = counted.where((p >= 3) & (odds > 1.5)).orderBy((p * odds).desc(), "feature").limit(MAX_FEATURES).collect()
+    # all that can be evidence, in all rows or in a half of them
+    marks = F.lit(False)
+    for p, n, has, lacks in [(F.col("p0"), F.col("n0"), pos[0], neg[0]), (F.col("p1"), F.col("n1"), pos[1], neg[1]), (F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1"), sum(pos), sum(neg))]:
+        marks |= (p >= max(LEAST_ROWS, LEAST_SHARE * has)) & (F.log((p + 0.5) / (has + 1)) - F.log((n + 0.5) / (lacks + 1)) > LEAST_ODDS - 0.01)
+    best = counted.where(marks).orderBy("feature").collect()
     halves = [{r["feature"]: w for r in best if (w := _log_odds(r[f"p{h}"], r[f"n{h}"], pos[h], neg[h]))} for h in (0, 1)]
     weights = {r["feature"]: w for r in best if (w := _log_odds(r["p0"] + r["p1"], r["n0"] + r["n1"], sum(pos), sum(neg)))}
     seen = np.array([tuple(r) for r in rows.mapInArrow(_evidence_rows(letters, halves), "top double, total double, hits double, toxic double").collect()])
+    release(rows)
     return Model(letters, weights, tuple(logistic(seen[:, :3], seen[:, 3])))
 
 
@@ -327,7 +341,10 @@ def probability(text: str | None, model: Model, reader: Reader) -> float:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all) of `docs` and `out`: the probability that the text is toxic. Null texts count as empty."""
+    """The columns `keep` (all) of `docs` and `out`: the probability that the text is toxic.
+
+    Null texts count as empty; a null doc_id or a repeated row is scored like any; a column that has the name `out` is replaced.
+    """
     kept = [f for f in docs.schema.fields if f.name != out and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     names = [f.name for f in schema.fields]
