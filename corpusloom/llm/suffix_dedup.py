@@ -9,7 +9,7 @@ share the 58 bytes from the base on.
 1. Documents are dealt into runs by a hash of doc_id. Each run sends the hashes of its units' shared
    58 bytes, sorted and delta-coded; hashes that two runs have come back as bit maps. Units that no
    other unit can match go no further.
-2. Each run settles its own repeated windows by 64-bit hashes of them, and of the windows that it has first
+2. Each run settles its own repeated windows, which hashes bring together and their bytes confirm, and of the windows that it has first
    sends sorted, front-coded runs of units: suffixes from the base on, with the few bytes before it.
 3. A loser tree merges the runs of a partition. It keeps for each entry how many bytes it is known to
    share with the last winner (for the next of the same run that is its front code) and compares only
@@ -39,6 +39,8 @@ REACH = WINDOW - GRAM  # greatest distance of a window's start before its anchor
 HALF = 42  # greatest distance of a window's start before its unit's base
 SHARED = WINDOW - HALF
 RUN_BYTES = 4 << 20
+#: Bytes of text for each segment of the hashes and each partition of the merge.
+PIECE_BYTES = 128 << 20
 _BLOCK = 1 << 20
 _DROPPED = 16  # low bits of a hash that are not sent; fewer bits only make more candidates
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -114,6 +116,25 @@ class Run:
             h ^= h >> np.uint64(31)
         return _mixed(h)
 
+    def repeated(self, windows: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each window are also those of one before it in `windows`, which are in order of place."""
+        h = self.hashes(windows, WINDOW)
+        order = np.argsort(h, kind="stable")
+        out = np.zeros(len(windows), bool)
+        at = np.flatnonzero(h[order][1:] == h[order][:-1]) + 1
+        one, other = windows[order[at]], windows[order[at - 1]]
+        same = np.ones(len(at), bool)
+        for k in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
+            same &= self.words[one + k] == self.words[other + k]
+        out[order[at]] = same
+        for i in np.unique(h[order[at[~same]]]):  # one hash of different bytes
+            seen = set()
+            for j in np.flatnonzero(h == i):
+                bytes_ = self.data[windows[j] : windows[j] + WINDOW]
+                out[j] = bytes_ in seen
+                seen.add(bytes_)
+        return out
+
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, at, side="right") - 1
 
@@ -205,11 +226,7 @@ def _offer(segments: int, targets: int):
         alive = abroad | (np.bincount(at, minlength=len(distinct))[at] > 1)
         base, first, last, keys, abroad = base[alive], first[alive], last[alive], keys[alive], abroad[alive]
         windows, unit = _ranges(first, last)
-        h = own.hashes(windows, WINDOW)
-        order = np.argsort(h, kind="stable")
-        again = np.concatenate([[False], h[order][1:] == h[order][:-1]]) if len(order) else np.zeros(0, bool)
-        repeated = np.zeros(len(windows), bool)
-        repeated[order] = again
+        repeated = own.repeated(windows)
         gone = windows[repeated]
         rows = [(number % targets, number, 1, _spans_blob(own, gone, gone + WINDOW))]
         # units with windows that this run has first and another run may have too
@@ -440,13 +457,14 @@ def deduplicate(docs: DataFrame, kept: str = "kept", prefix: str = "") -> DataFr
     """
     spark = docs.sparkSession
     parts = partitions(spark)
+    size = text_bytes(docs)
     names = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", kept)]
     docs = docs.drop(*names)
-    runs = max(parts, -(-2 * text_bytes(docs) // RUN_BYTES))
+    runs, pieces = max(parts, -(-2 * size // RUN_BYTES)), max(parts, -(-size // PIECE_BYTES))
     dealt = docs.withColumn(_RUN, F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(runs, _RUN)
-    keys = dealt.groupBy(_RUN).applyInArrow(_announce(parts), "segment int, run int, keys binary")
+    keys = dealt.groupBy(_RUN).applyInArrow(_announce(pieces), "segment int, run int, keys binary").repartition(pieces, "segment")
     shared = keys.groupBy("segment").applyInArrow(_shared_keys, "run int, segment int, bits binary")
-    offered = dealt.groupBy(_RUN).cogroup(shared.groupBy("run")).applyInArrow(_offer(parts, parts), "target int, run int, kind int, blob binary")
+    offered = dealt.groupBy(_RUN).cogroup(shared.groupBy("run")).applyInArrow(_offer(pieces, pieces), "target int, run int, kind int, blob binary").repartition(pieces, "target")
     spans = offered.groupBy("target").applyInArrow(_settle, "run int, spans binary")
     fields = [f for f in docs.schema.fields if not (kept == "kept_sha256" and f.name == "text")]
     kinds = [T.LongType()] * 3 + [T.BinaryType() if kept == "kept" else T.StringType()]
