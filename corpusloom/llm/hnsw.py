@@ -1,34 +1,38 @@
 """Near-duplicate vectors: a small-world graph per shard, every shard queried, cosine verified, components united.
 
 Equal vectors are one class from the start. Classes are dealt into shards by a hash; each shard builds
-a hierarchical navigable small-world graph. Every class is searched for in every shard by a beam
-search in lockstep for a block of queries. A query whose whole beam still lies within the threshold is
-compared with all rows of the shard, and in each tile a sample of queries is audited against all rows: unless the share
-of queries with all their links and the recall of their nearest rows reach the target, the whole tile is computed
-by a blocked product, which is exact and misses no row that the graph cuts off.
-
-A tile returns a count for each query and, of its links, a spanning forest, so that a dense
-group does not send all its pairs.
+a hierarchical navigable small-world graph once. A tile is two shards, or one with itself: the rows of each are searched for
+in the graph of the other by a beam search in lockstep, and a link that either search finds counts for both ends. A query whose
+whole beam still lies within the threshold is compared with all rows of the shard. In each search a sample of queries
+is audited against all rows, some evenly spaced and some whose found cosines are nearest to the threshold: unless
+the share of them with all their links and the recall of their nearest rows reach the target, the whole tile is computed by a blocked product,
+which is exact and misses no row that the graph cuts off.
+
+A tile keeps a count for each row and, of its links, a spanning forest; pairs pass by in pieces, so that a
+dense group needs no memory for its pairs and sends none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, materialize
+from corpusloom.llm.common import components, materialize, partitions, release
 from corpusloom.llm.vectors import blocks, dots, norms, usable
 
-SHARD_ROWS, LEAST_SHARDS = 32768, 4
-QUERY_BLOCK, LOCKSTEP = 4096, 1024
-#: Blocks of queries that one task runs against a shard.
-BLOCKS_A_TASK = 4
+SHARD_ROWS, SHARD_BYTES, LEAST_SHARDS = 32768, 64 << 20, 4
+LOCKSTEP = 1024
 DEGREE, BEAM, STRIDE = 24, 32, 4
 THRESHOLD = 0.95
-AUDITED, AUDIT_RECALL, AUDIT_NEAREST = 48, 0.995, 8
-PRODUCT_BLOCK = 512
+AUDITED, AUDITED_NEAR, AUDIT_RECALL, AUDIT_NEAREST = 48, 24, 0.995, 8
+#: Cells of a piece of a product.
+PRODUCT_CELLS = 1 << 21
+#: Partitions of the tiles where there are more tiles than that.
+MOST_PARTITIONS = 20_000
 _UPPER = 16
 
 
@@ -198,97 +202,164 @@ def _grow(x, layers, cls):
     return links
 
 
-def _by_product(rows: np.ndarray, unit: np.ndarray, near: np.float32) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (query, row) of cosine >= near, by a blocked product."""
-    found = []
-    for lo in range(0, len(unit), PRODUCT_BLOCK):
-        i, j = np.nonzero(unit[lo : lo + PRODUCT_BLOCK] @ rows.T >= near)
-        found.append((i + lo, j))
-    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+class Shard:
+    """Rows (doubles), their unit vectors (float32), norms, ids, sizes of their classes, and the graph over them."""
 
+    def __init__(self, graph: Graph, x: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        self.graph, self.x, self.ids, self.sizes = graph, x, ids, sizes
+        self.unit, self.norms = graph.x, norms(x)
 
-def _by_beams(graph: Graph, unit: np.ndarray, beam: int, near: np.float32):
-    """Pairs of cosine >= near that beams find, and the beams. Queries whose whole beam is within go to the product."""
-    ids, sims = graph.search(unit, beam)
-    over = sims[:, -1] >= near
-    rows, cols = np.nonzero((sims >= near) & ~over[:, None])
-    cols = ids[rows, cols]
-    if over.any():
-        full = np.flatnonzero(over)
-        r, c = _by_product(graph.x, unit[full], near)
-        rows, cols = np.concatenate([rows, full[r]]), np.concatenate([cols, c])
-    return rows, cols, ids, sims
 
+def _slack(dim: int) -> float:
+    """More than a float32 product of unit vectors can be off."""
+    return max(1e-5, (dim + 8) * 6e-8)
 
-class _Audit:
-    """True links and nearest cosines of a sample of queries, without the queries themselves."""
 
-    def __init__(self, graph: Graph, x: np.ndarray, q: np.ndarray, unit: np.ndarray, near: np.float32):
-        self.at = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-        sims = unit[self.at] @ graph.x.T
-        i, j = np.nonzero(sims >= np.float32(1 - 1e-5))
-        own = (x[j] == q[self.at[i]]).all(1)
+class _Links:
+    """Which of the pairs (row of a, row of b) have a cosine >= threshold in double precision."""
+
+    def __init__(self, a, b, an, bn, threshold: float):
+        self.a, self.b, self.an, self.bn, self.threshold = a, b, an, bn, threshold
+        self.slack = _slack(a.shape[1])
+        self.near = np.float32(threshold - self.slack)
+
+    def verified(self, i: np.ndarray, j: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs with their float32 cosines; those beyond doubt are not computed again."""
+        keep = sims >= self.threshold + self.slack
+        doubt = np.flatnonzero(~keep & (sims >= self.near))
+        for at in range(0, len(doubt), 1 << 16):
+            d = doubt[at : at + (1 << 16)]
+            keep[d] = dots(self.a[i[d]], self.b[j[d]]) / (self.an[i[d]] * self.bn[j[d]]) >= self.threshold
+        return i[keep], j[keep]
+
+
+def _product(rows: np.ndarray, unit: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The cosines of `rows` of `unit` with all rows of `other`, in pieces (rows, their matrix)."""
+    step = max(1, PRODUCT_CELLS // max(1, len(other)))
+    for lo in range(0, len(rows), step):
+        part = rows[lo : lo + step]
+        yield part, unit[part] @ other.T
+
+
+def _pairs(part: np.ndarray, sims: np.ndarray, near: np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j = np.nonzero(sims >= near)
+    return part[i], j, sims[i, j]
+
+
+class _Beams:
+    """What beams find for the rows `unit` in a graph: pairs of cosine >= near, and which rows have full beams and need the product."""
+
+    def __init__(self, graph: Graph, unit: np.ndarray, near: np.float32):
+        self.ids, self.sims = graph.search(unit, BEAM)
+        self.over = self.sims[:, -1] >= near
+        self.i, k = np.nonzero((self.sims >= near) & ~self.over[:, None])
+        self.j, self.s = self.ids[self.i, k], self.sims[self.i, k]
+
+
+class _Audit:
+    """True links and nearest cosines of a sample of queries, without the queries themselves, held against the beams."""
+
+    def __init__(self, beams: _Beams, graph: Graph, x: np.ndarray, q: np.ndarray, unit: np.ndarray, near: np.float32):
+        spaced = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
+        edge = np.argsort(np.abs(np.where(np.isfinite(beams.sims), beams.sims, -1) - near).min(axis=1), kind="stable")[:AUDITED_NEAR]
+        at = np.unique(np.concatenate([spaced, edge]))
+        sims = unit[at] @ graph.x.T
+        i, j = np.nonzero(sims >= np.float32(1 - _slack(x.shape[1])))
+        own = (x[j] == q[at[i]]).all(1)
         sims[i[own], j[own]] = -np.inf
-        self.n, self.own = len(x), set(zip(self.at[i[own]].tolist(), j[own].tolist(), strict=True))
-        self.true = (sims >= near).sum(1)
-        k = min(AUDIT_NEAREST, self.n)
-        self.nearest = -np.sort(np.partition(-sims, k - 1, axis=1)[:, :k], axis=1)
-
-    def passes(self, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> bool:
-        """Of the queries with links, the share that has them all, and the share of the nearest rows found, reach the target."""
-        here = np.isin(rows, self.at)
-        links = np.zeros(len(ids), np.int64)
-        for i, j in zip(rows[here].tolist(), cols[here].tolist(), strict=True):
-            links[i] += (i, j) not in self.own
-        some = self.true > 0
-        if some.any() and (links[self.at] >= self.true)[some].mean() < AUDIT_RECALL:
-            return False
-        hit = wanted = 0
-        for k, i in enumerate(self.at.tolist()):
-            want = self.nearest[k][np.isfinite(self.nearest[k])]
+        mine = set(zip(at[i[own]].tolist(), j[own].tolist(), strict=True))
+        true = (sims >= near).sum(1)
+        links = np.zeros(len(unit), np.int64)
+        here = np.isin(beams.i, at)
+        for i, j in zip(beams.i[here].tolist(), beams.j[here].tolist(), strict=True):
+            links[i] += (i, j) not in mine
+        links[beams.over] = np.iinfo(np.int64).max  # the product finds all
+        self.true, self.found = int(true.sum()), int(np.minimum(links[at], true).sum())
+        some = true > 0
+        self.passes = not some.any() or (links[at] >= true)[some].mean() >= AUDIT_RECALL
+        k, hit, wanted = min(AUDIT_NEAREST, len(x)), 0, 0
+        nearest = -np.sort(np.partition(-sims, k - 1, axis=1)[:, :k], axis=1)
+        for row, i in enumerate(at.tolist()):
+            want = nearest[row][np.isfinite(nearest[row])]
             if len(want):
-                other = np.array([j >= 0 and (i, j) not in self.own for j in ids[i].tolist()])
+                other = np.array([j >= 0 and (i, j) not in mine for j in beams.ids[i].tolist()])
                 wanted += len(want)
-                hit += min(len(want), int((sims[i][other] >= want[-1] - 1e-6).sum()))
-        return hit >= AUDIT_RECALL * wanted
+                hit += min(len(want), int((beams.sims[i][other] >= want[-1] - 1e-6).sum()))
+        self.passes &= hit >= AUDIT_RECALL * wanted
+
+
+def _searched(graph: Graph, x: np.ndarray, q: np.ndarray, unit: np.ndarray, near: np.float32) -> tuple[_Beams | None, tuple[int, int]]:
+    """Beams for the queries if their audit passes, and the links of the audited queries: true ones and those found."""
+    if BEAM * DEGREE >= len(x):
+        return None, (0, 0)
+    beams = _Beams(graph, unit, near)
+    audit = _Audit(beams, graph, x, q, unit, near)
+    return (beams, (audit.true, audit.found)) if audit.passes else (None, (audit.true, audit.true))
 
 
 def links_within(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) of cosine >= threshold in double precision, by beams if their audit passes, else by the product."""
-    unit = (q / norms(q)[:, None]).astype(np.float32)
-    near = np.float32(threshold - 1e-5)
-    found = _by_beams(graph, unit, BEAM, near) if BEAM * DEGREE < len(x) else None
-    if found is not None and _Audit(graph, x, q, unit, near).passes(*found):
-        rows, cols = found[:2]
-    else:
-        rows, cols = _by_product(graph.x, unit, near)
-    nq, nx = norms(q), norms(x)
-    exact = np.empty(len(rows))
-    for at in range(0, len(rows), 1 << 16):
-        i, j = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
-        exact[at : at + (1 << 16)] = dots(q[i], x[j]) / (nq[i] * nx[j])
-    keep = exact >= threshold
-    return rows[keep], cols[keep]
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star (node, smallest node) for each component of the pairs."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[keep], nodes[label[keep]]
+    nq = norms(q)
+    unit = (q / nq[:, None]).astype(np.float32)
+    rule = _Links(q, x, nq, norms(x), threshold)
+    beams, _ = _searched(graph, x, q, unit, rule.near)
+    found = [] if beams is None else [rule.verified(beams.i, beams.j, beams.s)]
+    for part, sims in _product(np.arange(len(q)) if beams is None else np.flatnonzero(beams.over), unit, graph.x):
+        found.append(rule.verified(*_pairs(part, sims, rule.near)))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+
+def tile_links(a: Shard, b: Shard, threshold: float) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """Links (row of a, row of b), each once, in pieces; where a is b, each as (smaller, greater). And the audited links: true ones, found ones."""
+    alone = a is b
+    rule = _Links(a.x, b.x, a.norms, b.norms, threshold)
+    there, audited = _searched(b.graph, b.x, a.x, a.unit, rule.near)
+    back = there
+    if there is not None and not alone:
+        back, more = _searched(a.graph, a.x, b.x, b.unit, rule.near)
+        audited = (audited[0] + more[0], audited[1] + more[1])
+    if there is None or back is None:
+        there, audited = None, (audited[0], audited[0])
+
+    def pieces():
+        n, m = len(a.x), len(b.x)
+        if there is None:
+            for part, sims in _product(np.arange(n), a.unit, b.unit):
+                i, j, s = _pairs(part, sims, rule.near)
+                keep = i < j if alone else slice(None)
+                yield rule.verified(i[keep], j[keep], s[keep])
+            return
+        i, j, s = np.concatenate([there.i, back.j]), np.concatenate([there.j, back.i]), np.concatenate([there.s, back.s])
+        if alone:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+        code, at = np.unique(i * m + j, return_index=True)
+        i, j, s = i[at], j[at], s[at]
+        covered = there.over[i] | back.over[j] | ((i == j) if alone else False)
+        yield rule.verified(i[~covered], j[~covered], s[~covered])
+        for part, sims in _product(np.flatnonzero(there.over), a.unit, b.unit):
+            i, j, s = _pairs(part, sims, rule.near)
+            if alone:
+                keep = (i != j) & ~(there.over[j] & (i > j))  # two full beams meet once
+                i, j, s = np.minimum(i, j)[keep], np.maximum(i, j)[keep], s[keep]
+            yield rule.verified(i, j, s)
+        if not alone:
+            for part, sims in _product(np.flatnonzero(back.over), b.unit, a.unit):
+                j, i, s = _pairs(part, sims, rule.near)
+                keep = ~there.over[i]
+                yield rule.verified(i[keep], j[keep], s[keep])
+
+    return pieces(), list(audited)
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Puts a and b, pair by pair, into one component of `label`, where each node has its component's smallest."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label[:] = label[label]
 
 
 def _index(table: pa.Table) -> pa.Table:
@@ -315,63 +386,90 @@ def _indexed(batches):
             yield from _index(pa.Table.from_batches([batch])).to_batches()
 
 
-def _load(t: dict) -> tuple[Graph, np.ndarray]:
+def _load(t: dict) -> Shard:
     x = np.frombuffer(t["data"]).reshape(t["n"], t["dim"])
     links = np.frombuffer(t["links"], np.int32).reshape(t["n"], DEGREE).astype(np.int64)
     upper, layers, at = np.frombuffer(t["upper"], np.int32).reshape(-1, DEGREE).astype(np.int64), [], 0
     for size in np.frombuffer(t["sizes"], np.int64):
         layers.append((np.arange(size), upper[at : at + size]))
         at += size
-    return Graph((x / norms(x)[:, None]).astype(np.float32), layers, links), x
+    graph = Graph((x / norms(x)[:, None]).astype(np.float32), layers, links)
+    return Shard(graph, x, np.frombuffer(t["ids"], np.int64), np.frombuffer(t["extra"], np.int64))
+
+
+_FOUND = "kind int, a long, b long"
+
+
+def _found(a: Shard, b: Shard, threshold: float) -> pa.RecordBatch:
+    """Of one tile: links a class has there (kind 0), a spanning forest (kind 1), audited links that are true and that were found (kind 2)."""
+    alone, n = a is b, len(a.ids)
+    ids = a.ids if alone else np.concatenate([a.ids, b.ids])
+    found, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    pieces, audited = tile_links(a, b, threshold)
+    for i, j in pieces:
+        np.add.at(found, i, b.sizes[j])
+        other = j if alone else j + n
+        np.add.at(found, other, a.sizes[i])
+        unite(label, i, other)
+    some, apart = np.flatnonzero(found), np.flatnonzero(label != np.arange(len(ids)))
+    kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(apart), np.int32), np.full(1, 2, np.int32)])
+    left, right = np.concatenate([ids[some], ids[apart], audited[:1]]), np.concatenate([found[some], ids[label[apart]], audited[1:]])
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["kind", "a", "b"])
 
 
 def _search(threshold: float):
+    """Tiles from rows (dim, i, j, block, index of that block) in their order: of a tile of two shards, block i comes first."""
+
     def run(batches):
-        loaded, key = None, None
+        first = None
         for batch in batches:
-            for t in batch.to_pylist():
-                if key != (t["dim"], t["block"]):
-                    loaded, key = _load(t), (t["dim"], t["block"])
-                graph, x = loaded
-                q = np.frombuffer(t["q_data"]).reshape(t["q_n"], t["dim"])
-                q_ids, ids, sizes = np.frombuffer(t["q_ids"], np.int64), np.frombuffer(t["ids"], np.int64), np.frombuffer(t["extra"], np.int64)
-                i, j = links_within(graph, x, q, threshold)
-                other = q_ids[i] != ids[j]
-                i, j = i[other], j[other]
-                found = np.bincount(i, weights=sizes[j].astype(float), minlength=len(q)).astype(np.int64)
-                node, root = _forest(q_ids[i], ids[j])
-                some = np.flatnonzero(found)
-                kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(node), np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([q_ids[some], node])), pa.array(np.concatenate([found[some], root]))], ["kind", "a", "b"])
+            for k in range(batch.num_rows):
+                (t,) = batch.slice(k, 1).to_pylist()
+                shard = _load(t)
+                if t["i"] == t["j"]:
+                    yield _found(shard, shard, threshold)
+                elif t["block"] == t["i"]:
+                    first = (t["dim"], t["i"], t["j"]), shard
+                elif first is not None and first[0] == (t["dim"], t["i"], t["j"]):
+                    yield _found(first[1], shard, threshold)
+                    first = None
 
     return run
 
 
-def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row.
+def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, audit: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row; with `audit`, audited_recall too: the share of the audited queries' links that were found.
 
     A vector that is null, zero or holds a null or non-finite component links with nothing, as do vectors
-    of different lengths with each other. Rows with the same id and vector count as links of each other.
-    A null id with a usable vector is left out of the groups: n_links 0, component_id null, kept.
+    of different lengths with each other. Rows with the same id and vector count as links of each other; an id with several
+    vectors has a row for each, with links of its own.
+    A null id with a usable vector is left out of the groups: n_links 0, component_id null, kept. Other columns are ignored, whatever
+    their names. An empty table gives an empty result. A shard that has no partner of its length in a tile makes no tile.
     """
     own = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(F.col(f"`{vec_id}`").isNotNull() & usable(vector), F.col(f"`{vector}`")).alias("v"))
     classes = own.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    classes = materialize(classes, "classes")
-    total = classes.count()
-    shards, q_blocks = max(LEAST_SHARDS, -(-total // SHARD_ROWS)), max(1, -(-total // QUERY_BLOCK))
-    tasks = -(-q_blocks // BLOCKS_A_TASK)
-    index = materialize(blocks(classes, "rep", "v", shards, "members").repartition(shards, "dim", "block").mapInArrow(_indexed, _INDEX_DDL), "index")
-    asked = blocks(classes, "rep", "v", q_blocks).select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), (F.col("block") % tasks).alias("task"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    tiles = index.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).join(asked, ["dim", "block", "task"])
-    found = materialize(tiles.mapInArrow(_search(threshold), "kind int, a long, b long"), "found")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
-    roots = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.join(counts, "rep", "left").join(roots, "rep", "left")
-    known = known.select(F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # an id may have several vectors
+    total, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    shards = max(LEAST_SHARDS, -(-total // min(SHARD_ROWS, max(LOCKSTEP, SHARD_BYTES // (8 * (dim or 1))))))
+    index = materialize(blocks(classes, "node", "v", shards, "members").repartition(shards, "dim", "block").mapInArrow(_indexed, _INDEX_DDL), "index")
+    tiled = index.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    parts = min(2 * shards * (shards + 1), max(MOST_PARTITIONS, partitions(rows.sparkSession)))
+    tiled = tiled.repartition(parts, "dim", "i", "j").sortWithinPartitions("dim", "i", "j", "block")
+    found = materialize(tiled.mapInArrow(_search(threshold), _FOUND), "found")
+    release(index)
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    known = classes.join(counts, "node", "left").join(components(found.where("kind = 1").select("a", "b")), "node", "left")
+    known = known.select("v", "rep", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n"), F.coalesce("component", "node").alias("root"))
+    least = known.groupBy("root").agg(F.min("rep").alias("c"))
+    known = known.join(least, "root").select(F.col("v").alias("w"), "n", "c")
     joined = own.join(known, F.col("v") == F.col("w"), "left")
     component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("c"))
-    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    if not audit:
+        return out
+    true, seen = found.where("kind = 2").agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return out.withColumn("audited_recall", F.lit(seen / true if true else 1.0))
 
 
 def op6_hnsw(spark, sf_dir: str) -> DataFrame:
