@@ -73,6 +73,32 @@ def test_suffix_dedup_random_small_alphabets(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
 
 
+def test_repeated_windows_are_told_apart_by_their_bytes(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice("ab") for _ in range(400)) * 2
+    run = suffix_dedup.Run([1], [text])
+    windows = np.arange(len(text) - 99)
+    seen, want = set(), []
+    for p in windows:
+        want.append(text[p : p + 100] in seen)
+        seen.add(text[p : p + 100])
+    assert run.repeated(windows).tolist() == want
+    few = lambda self, at, length: np.array([self.data[p] % 2 for p in at], np.uint64)
+    monkeypatch.setattr(suffix_dedup.Run, "hashes", few)  # nearly all hashes collide
+    assert run.repeated(windows).tolist() == want and run.repeated(windows[:0]).tolist() == []
+
+
+def test_suffix_dedup_of_many_pieces_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1 << 18)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 1 << 18)
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    long, shared = noise(1_300_000), noise(3000)  # longer than a block
+    rows = [(i, noise(500) + shared + noise(200)) for i in range(40)] + [(100, long), (101, long[:700_000] + noise(10) + shared + long[700_000:])]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), "kept_sha256").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
+
+
 def test_suffix_dedup_keeps_whole_characters_and_nulls(spark):
     whole = "".join(chr(0xC0 + i) for i in range(60))
     docs = frame(spark, [whole, "x" + whole, None, ""]).withColumn("run", suffix_dedup.F.lit("own")).withColumn("n_bytes", suffix_dedup.F.lit(-1))
@@ -135,7 +161,9 @@ def test_mixing_targets_counts_and_closeness(spark):
         assert mine[0].target == pytest.approx(want) and mine[0].source_size == sizes[s]
         assert abs(sum(r.taken for r in mine) - want) <= max(0.01 * want, 60)
         assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in mine)
-        assert mine[0].rate == pytest.approx(want / sizes[s], rel=1e-6)
+        tilt = {round(np.log(r.rate) / (1 + np.log(r.size)), 3) for r in mine if r.size > 20 and r.rate < 3}
+        assert len(tilt) <= 2 and sum(r.rate * r.size for r in mine) == pytest.approx(want, rel=1e-5)
+        assert all(abs(r.copies - r.rate) < 1 for r in mine)
     again = mixing.mix(df.repartition(7)).collect()
     assert sorted(map(tuple, again), key=KEY) == sorted(map(tuple, rows), key=KEY)
 
@@ -148,10 +176,64 @@ def test_mixing_caps_and_copies(spark):
     assert len(docs) == sum(r.copies for r in rows) and set(docs[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def brute_lambda(sizes, target):
+    """Root of the gradient by bisection."""
+    low, high = -20.0, np.log(3)
+    x = 1 + np.log(np.array(sizes, float))
+    for _ in range(200):
+        at = (low + high) / 2
+        low, high = (at, high) if (np.array(sizes) * np.minimum(3, np.exp(at * x))).sum() < target else (low, at)
+    return at
+
+
+def test_newton_finds_the_root_of_every_dual(spark):
+    rng = random.Random(3)
+    sizes = {s: [rng.choice([1, 2, 30, 500, 20000]) for _ in range(50)] for s in "abcdef"}
+    share = dict(zip("abcdef", (0.01, 0.5, 0.999, 1.0, 1.7, 2.9), strict=True))
+    counted = spark.createDataFrame([(s, n, sizes[s].count(n)) for s in sizes for n in set(sizes[s])], "source string, size long, n long")
+    targets = spark.createDataFrame([(s, sum(sizes[s]), share[s] * sum(sizes[s])) for s in sizes] + [("none", 0, 0.0)], "source string, source_size long, target double")
+    got = dict(map(tuple, mixing.balanced(counted, targets).collect()))
+    assert set(got) == set(sizes)
+    for s in sizes:
+        assert got[s] == pytest.approx(brute_lambda(sizes[s], share[s] * sum(sizes[s])), abs=1e-8)
+
+
+@pytest.mark.parametrize("folded", [20_000, 0])
+def test_copies_are_chosen_in_order_until_none_fits(spark, monkeypatch, folded):
+    """Passes alone, and passes with the fold, against one loop over the sorted documents."""
+    monkeypatch.setattr(mixing, "FOLDED", folded)
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([3, 7, 50, 51, 900]), rng.choice([None, i // 2]), float(rng.randrange(1 << 48))) for i in range(400)]
+    lacks = {"a": 5003, "b": 99, None: 1}
+    asked = spark.createDataFrame(rows, "row long, source string, size long, key long, turn double")
+    got = sorted(r.row for r in mixing._sampled(asked, spark.createDataFrame(list(lacks.items()), "source string, lack long"), 8).collect())
+    want = []
+    for source, lack in lacks.items():
+        for row, _, size, _, _ in sorted((r for r in rows if r[1] == source), key=lambda r: (r[4], r[3] is not None, r[3] or 0, r[2], r[0])):
+            if size <= lack:
+                want.append(row)
+                lack -= size
+    assert got == sorted(want)
+
+
+def test_mixing_rows_that_share_a_doc_id_and_clashing_columns(spark):
+    rows = [(1, "w " * 10, "a"), (1, "w " * 3, "a"), (1, "w " * 3, "a"), (None, "w " * 4, "a"), (None, "w " * 4, "b"), (2, None, "b"), (2, "", "b"), (3, "w " * 200, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for column in ("row", "size", "copies", "target", "turn", "key"):
+        docs = docs.withColumn(column, mixing.F.lit("own"))
+    plan, mixed = mixing.mix(docs).collect(), mixing.mixed_documents(docs).collect()
+    assert len(plan) == len(rows) and all(r.copies == 0 and r.rate == 0 for r in plan if r.size == 0)
+    words = lambda s: sum(len(r.text.split()) for r in mixed if r.source == s)
+    for source in "abc":
+        assert words(source) == sum(r.taken for r in plan if r.source == source)
+    assert all(r.row == r.size == r.key == "own" and r.text for r in mixed)
+
+
 def test_mixing_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     rows = mixing.mix(frame(spark, [None, "", " "])).collect()
-    assert [r.taken for r in rows] == [0, 0, 0]
+    assert [r.taken for r in rows] == [0, 0, 0] and [r.copies for r in rows] == [0, 0, 0]
+    assert mixing.mixed_documents(frame(spark, [None, "", " "])).count() == 0
 
 
 # ---- 5: packing
@@ -227,6 +309,12 @@ def test_rendezvous_moves_rows_only_to_the_new_shard(spark):
     assert len({r.shard for r in got if r.doc_id == 7}) == 1
 
 
+def test_slots_of_rows_that_share_a_key_agree_between_runs(spark):
+    df = spark.createDataFrame([(i % 3 or None, str(i)) for i in range(60)], "doc_id long, text string")
+    runs = [sorted(map(tuple, sharding.shard(df.repartition(n), [1.0] * 2, then=("text",)).collect()), key=repr) for n in (1, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_rendezvous_weights(spark):
     df = spark.range(6000).withColumnRenamed("id", "doc_id")
     counts = dict(sharding.shard(df, [1.0, 2.0, 3.0]).groupBy("shard").count().collect())
@@ -261,7 +349,7 @@ def test_spaced_words_are_restored():
     assert reader.words("plain words 2024 55")[0] >= {"plain", "words"}
 
 
-@pytest.mark.parametrize("text,word", [("a s t u p i d", "stupid"), ("y o u s t u p i d", "stupid"), ("m o r o n. s h i t.", "shit"), ("s h i t..........", "shit"), ("m.o.r.o.n.s.t.u.p.i.d", "stupid"), ("y o u " * 100 + "s t u p 1 d", "stupid")])
+@pytest.mark.parametrize("text,word", [("a s t u p i d", "stupid"), ("y o u s t u p i d", "stupid"), ("m o r o n. s h i t.", "shit"), ("s h i t..........", "shit"), ("m.o.r.o.n.s.t.u.p.i.d", "stupid"), ("y o u " * 100 + "s t u p 1 d", "stupid"), ("y o u m 0 r o n", "moron")])
 def test_spaced_runs_have_word_breaks(text, word):
     reader = toxicity.Reader(model_of(["moron", "stupid", "shit", "you", "a"]))
     assert word in reader.words(text)[0]
@@ -278,6 +366,11 @@ def test_long_tokens_are_decoded(token):
     assert len(token) > 40 and any("idiot" in w for w in found), found
 
 
+@pytest.mark.parametrize(("token", "word"), [("iidiioot", "idiot"), ("moorron", "moron"), ("m0r0n" * 9, "moron"), ("idiiot", "idiot"), ("book", "book")])
+def test_doubled_letters_are_decoded(token, word):
+    assert word in toxicity.Reader(model_of(["moron", "idiot", "book"])).words(f"so {token} there")[0]
+
+
 @pytest.mark.parametrize("breaks", [False, True])
 def test_settling_changes_no_reading(monkeypatch, breaks):
     model, rng = model_of(["moron", "idiot", "you"]), random.Random(6)
@@ -341,6 +434,55 @@ def test_toxicity_learns_and_generalises(spark):
     assert got[900] == got[901] < 0.3 and got[902] >= 0.7 and got[903] >= 0.7
 
 
+def brute_scores(rows, labels, letters):
+    """Scores from plain counts over all labelled documents: every feature is tried, none is filtered beforehand."""
+    reader, seen = toxicity.Reader(letters), []
+    for key, text in rows:
+        if key in labels:
+            digest = hashlib.md5(str(key).encode()).hexdigest()
+            seen.append((reader.words(text), labels[key], int(digest[31], 16) % 2))
+    has = {(h, y): sum(1 for _, label, half in seen if (half, label) == (h, y)) for h in (0, 1) for y in (0, 1)}
+    counts = {}
+    for (words, _), label, half in seen:
+        for f in {f for w in words for f in [w, *[w[:k] + "~" for k in (4, 5) if len(w) > k]]}:
+            counts.setdefault(f, {}).setdefault((half, label), 0)
+            counts[f][half, label] += 1
+    odds = lambda c, hs: toxicity._log_odds(*(sum(c.get((h, y), 0) for h in hs) for y in (1, 0)), *(sum(has[h, y] for h in hs) for y in (1, 0)))
+    weights = [{f: w for f, c in counts.items() if (w := odds(c, hs))} for hs in ((0,), (1,), (0, 1))]
+    x = np.array([toxicity.evidence(words, n, weights[1 - half]) for (words, n), _, half in seen])
+    fit = toxicity.logistic(x, np.array([label for _, label, _ in seen], float))
+    z = [fit[0] + np.dot(fit[1:], toxicity.evidence(*reader.words(text), weights[2])) for _, text in rows]
+    return [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in z]
+
+
+def test_scores_match_brute_force(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], {}
+    for i in range(300):
+        toxic = i % 4 == 0
+        text = rng.choices(words, k=30) + (rng.choices(["grobble", "gr0bble", "snizz", "s n i z z", "snizzz"], k=2) if toxic else [])
+        rows.append((i, " ".join(text)))
+        if i % 3:
+            labels[i] = int(toxic)
+    rows += [(300, None), (301, ""), (302, "x" * 5000), (None, "grobble")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    letters = toxicity.character_model(docs)
+    table = spark.createDataFrame([(k, 0, v) for k, v in labels.items()] + [(9999, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, table, letters)
+    got = {(r.doc_id, r.text): r.toxicity for r in toxicity.score(docs, model).collect()}
+    for row, want in zip(rows, brute_scores(rows, labels, letters), strict=True):
+        assert got[row] == pytest.approx(want, abs=1e-9)
+
+
+def test_labels_without_a_document_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(160)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, 0, i % 2) for i in range(4000)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, table, train_rows=160)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
+    assert min(got[i] for i in range(1, 160, 2)) > 0.7 > 0.3 > max(got[i] for i in range(0, 160, 2))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -395,6 +537,73 @@ def test_near_duplicates_nulls_repeats_empty(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    return ["ab"[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_words_that_polynomial_hashes_confuse_are_not_linked(spark):
+    rows = []
+    for k, n in enumerate((512, 1024, 2048, 4096)):
+        word = "".join(thue_morse(n))
+        rows += [(10 * k, word), (10 * k + 1, word.translate(str.maketrans("ab", "ba"))), (10 * k + 2, f"x y z {word} w"), (10 * k + 3, f"x y z {word.translate(str.maketrans('ab', 'ba'))} w")]
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(i, 1, i, True) for i, _ in rows]
+
+
+@pytest.mark.parametrize("vocabulary", [3, 60, 9000])
+def test_shingle_numbers_are_equal_for_equal_words_alone(vocabulary):
+    rng = random.Random(vocabulary)
+    for _ in range(20):
+        texts = [[rng.randrange(vocabulary) for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 300]))] for _ in range(3)]
+        texts.append(texts[2][1:-1])
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} if len(t) >= 5 else {tuple(t)} if t else set() for t in texts]
+        for radix in (vocabulary + 1, 1 << 20, 1 << 31):  # digits that fit and digits that do not
+            numbers = minhash.shingle_numbers([np.array(t, np.int64) + 1 for t in texts], radix)
+            assert [len(np.unique(n)) for n in numbers] == [len(s) for s in sets]
+            assert len(np.intersect1d(numbers[2], numbers[3])) == len(sets[2] & sets[3])
+        words = [b"%d" % w for w in texts[2]]
+        assert len(minhash.shingle_hashes(words)) == len(sets[2])
+
+
+@pytest.mark.parametrize("radix", [minhash.RADIX, 10])
+def test_confirmation_is_exact(monkeypatch, radix):
+    monkeypatch.setattr(minhash, "RADIX", radix)
+    rng = random.Random(4)
+    for _ in range(200):
+        a = [b"%d" % rng.randrange(40) for _ in range(rng.choice([1, 4, 30, 60]))]
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            b[rng.randrange(len(b))] = b"%d" % rng.randrange(45)
+        leader = minhash.Leader()
+        leader.add([b"other", b"text"])
+        leader.add(a)
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for w in (a, b))
+        assert leader.near(b) == (100 * len(s & t) >= 85 * len(s | t))
+
+
+def test_hot_leaders_and_tiles_lose_no_link(spark, monkeypatch):
+    """Every leader is salted and every bucket of several components is cut into tiles."""
+    monkeypatch.setattr(minhash, "FAN", 4)
+    monkeypatch.setattr(minhash, "SPREAD", 8)
+    monkeypatch.setattr(minhash, "TILE", 3)
+    rng = random.Random(6)
+    rows, base = [(0, " ".join(f"w{i}" for i in range(95)))], [f"w{i}" for i in range(90)]
+    for i in range(1, 80):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(90)] = f"v{i % 7}"
+        rows.append((i, " ".join(w)))
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute_components(rows))
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(70))
+    rows = [(1, a), (1, b), (5, a + " x"), (6, b + " x"), (7, a)]
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 56, 1, True), (1, 66, 1, True), (5, 57, 1, False), (6, 67, 1, False), (7, 56, 1, False)]
+
+
 def test_index_finds_every_pair_within_the_distance():
     rng = np.random.default_rng(0)
     for _ in range(300):
@@ -425,9 +634,77 @@ def test_license_scan_matches_brute_force(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_licence(text):
+    """labels and score by plain search and a recursive reading of expressions."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text or ""))
+    has = lambda phrase: any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))
+    rules = licenses.RULES
+    labels = {label for phrase, label in {**rules.notices, **licenses.BASE_PHRASES}.items() if has(phrase)}
+    scores = [rules.score(x) for x in labels]
+    for line in re.findall(r"(?i)spdx-license-identifier\s*:[ \t]*([^\r\n]*)", text or ""):
+        tokens = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+\-]*", line)
+
+        def reading(level):
+            if level == 3:
+                token = tokens.pop(0)
+                if token == "(":
+                    value = reading(0)
+                    tokens.pop(0)
+                    return value
+                name = rules.label(token)
+                labels.add(name)
+                return rules.score(name)
+            if level == 2:
+                value = reading(3)
+                while tokens and tokens[0].lower() == "with":
+                    del tokens[:2]
+                    value = (value + 1) / 2
+                return value
+            value = reading(level + 1)
+            while tokens and tokens[0].lower() == ("or", "and")[level]:
+                tokens.pop(0)
+                value = (max, min)[level](value, reading(level + 1))
+            return value
+
+        scores.append(reading(0))
+    if not labels and has("all rights reserved"):
+        labels, scores = {"proprietary"}, [0.05]
+    return ",".join(sorted(labels)), min(scores, default=0.0)
+
+
+def test_license_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(3)
+
+    def expression(depth=0):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            return rng.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "CC-BY-NC-SA-4.0", "BSD-3-Clause", "AGPL-3.0-or-later", "X-Unheard"]) + rng.choice(["", "", " WITH Some-exception"])
+        if kind < 0.6:
+            return f"({expression(depth + 1)})"
+        return f"{expression(depth + 1)} {rng.choice(['OR', 'AND', 'or'])} {expression(depth + 1)}"
+
+    pieces = [*licenses.RULES.notices, *licenses.BASE_PHRASES, "All rights reserved.", "prose of no kind", "under the", "MIT license"]
+    texts = [None, "", "cc by nc " * 5000, "All Rights Reserved", "Redistribution and use in source and binary forms. All rights reserved"]
+    texts += [" ".join(rng.choice([str.upper, str])(rng.choice(pieces)) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    texts += [f"{rng.choice(pieces)}\n// SPDX-License-Identifier: {expression()}\nSPDX-License-Identifier: {expression()}\n" for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "cc by nc"), (3, texts[3]), (3, texts[3])]
+    df = spark.createDataFrame([(i, t, "own", 1) for i, t in rows], "doc_id long, text string, labels string, n_words int")
+    got = sorted(((r.doc_id, r.labels, round(r.score, 9)) for r in licenses.scan(df).collect()), key=KEY)
+    assert got == sorted(((i, brute_licence(t)[0], round(brute_licence(t)[1], 9)) for i, t in rows), key=KEY)
+
+
+def test_license_rules_can_be_a_table(spark):
+    table = spark.createDataFrame([("notice", "Own Terms apply", "own", None), ("label", "own", None, 0.7), ("identifier", "OT-1", "own", None)], "kind string, key string, label string, permissive double")
+    rules = licenses.rules_of(table)
+    docs = spark.createDataFrame([(1, "own-terms APPLY"), (2, "SPDX-License-Identifier: OT-1.5"), (3, "under the mit license")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs, rules).collect()}
+    assert got == {1: ("own", 0.7), 2: ("own", 0.7), 3: ("mit", licenses.UNKNOWN)}
+
+
 @pytest.mark.parametrize(
     ("text", "labels", "score"),
     [
+        ("MIT */ AND GPL-2.0", ["mit"], 1.0),
         ("MIT", ["mit"], 1.0),
         ("MIT OR GPL-2.0-only", ["mit", "gpl"], 1.0),
         ("MIT AND GPL-2.0-only", ["mit", "gpl"], 0.3),
