@@ -279,11 +279,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the dealt `pairs` (a, salt, b) whose full shingle sets meet the threshold.
 
     A leader's text goes once to each of its salts, the members' texts beside it; so no leader, however
-    common, meets all its members in one task. All texts are fetched by one join.
+    common, meets all its members in one task. Documents that are in no pair are left out first; all texts are fetched by one join.
     """
     none = F.lit(None).cast("long")
     wanted = pairs.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", none.alias("b")).unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
-    rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "salt", "b", "text")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id").distinct(), "id", "left_semi")
+    rows = wanted.join(texts, "id").select("a", "salt", "b", "text")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
 
@@ -323,8 +324,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tiled = tiled.join(signatures, "rep").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "sig")
     rest = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_cross, "a long, b long")
     rest = materialize(rest.distinct(), "pairs")
-    more = materialize(confirmed(dealt(rest), unique), "links")
-    release(rest, shared)
+    pairs = materialize(dealt(rest), "pairs")  # so that the size of the join with the texts is known beforehand
+    more = materialize(confirmed(pairs, unique), "links")
+    release(rest, pairs, shared)
     found = components(links.unionByName(more))
     roots = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", label.alias("component_id"))
     joined = rows.join(roots, "fp", "left")
