@@ -51,7 +51,7 @@ _ITEMS = "array<struct<item_type:string,id:string,name:string,path:string,conten
 
 def session_items(transcripts: DataFrame, session: str = "session") -> DataFrame:
     """session, line_index, item_no (from 0 in the session), item_type, id, name, path, content, is_error."""
-    likely = F.when(F.contains("line", F.lit("tool_")), F.col("line"))
+    likely = F.when(F.contains("line", F.lit("tool_")) | F.contains("line", F.lit("\\u")), F.col("line"))  # JSON may escape any character
     rows = transcripts.select(session, "line_index", text_kernel(line_items, _ITEMS)(likely).alias("i"))
     rows = rows.select(session, "line_index", F.posexplode("i").alias("at", "i"))
     number = F.row_number().over(Window.partitionBy(session).orderBy("line_index", "at")) - 1
@@ -244,7 +244,8 @@ def line_savings(content: str) -> tuple:
 
 def session_stats(items: DataFrame, session: str = "session") -> DataFrame:
     """session, kind (null: all kinds), calls, chars_before, chars_after, chars_saved, pct_saved of results under the output contract."""
-    likely = F.when((F.col("item_type") == "tool_result") & F.contains("content", F.lit("chars_before")), F.col("content"))
+    named = F.contains("content", F.lit("chars_before")) | F.contains("content", F.lit("\\u"))
+    likely = F.when((F.col("item_type") == "tool_result") & named, F.col("content"))
     rows = items.select(session, text_kernel(line_savings, "kind string, chars_before string, chars_after string")(likely).alias("s")).select(session, "s.*")
     sums = rows.where("kind is not null").rollup(session, "kind").agg(
         F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("calls"), F.sum(F.col("chars_before").cast("decimal(20,0)")).cast("long").alias("chars_before"), F.sum(F.col("chars_after").cast("decimal(20,0)")).cast("long").alias("chars_after")

@@ -75,6 +75,15 @@ def write_contract(results: DataFrame, path: str, key: str = "doc_id") -> None:
     contract_json(results, key).select("json").write.text(path)
 
 
+def write_batch(results: DataFrame, path: str, key: str = "id") -> None:
+    """The contract of each result with its id in front, an object a line."""
+    from corpusloom.plans.router import contract_json
+
+    name = F.expr("substr(n, 1, length(n) - 1)")  # without the brace at its end
+    rows = contract_json(results, key).withColumn("n", F.to_json(F.struct(F.col(key).cast("string").alias("id")), {"ignoreNullFields": "false"}))
+    rows.select(F.concat(name, F.lit(","), F.expr("substr(json, 2)")).alias("json")).write.text(path)
+
+
 def write_transcript(pruned: DataFrame, path: str, session: str = "session") -> None:
     """A copy, a folder for each session, its lines in order."""
     pruned.repartition(session).sortWithinPartitions(session, "line_index").select("line", session).write.partitionBy(session).text(path)

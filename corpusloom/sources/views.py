@@ -88,7 +88,7 @@ def numbered_docs(spark, sf_dir) -> DataFrame:
 
 def blob_docs(spark, sf_dir) -> DataFrame:
     uri = F.when(F.col("doc_id") % 5 == 0, "data:image/png;base64," + "QUJD" * 6 + "==").otherwise("")
-    text = F.concat(F.substring("text", 1, 200), F.lit(" "), F.repeat(F.lit("QUJD"), (100 + F.col("doc_id") % 100).cast("int")), F.lit("= "), uri, F.lit(" end"))
+    text = F.concat("text", F.lit(" "), F.repeat(F.lit("QUJD"), (100 + F.col("doc_id") % 100).cast("int")), F.lit("= "), uri, F.lit(" end"))
     return documents(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
@@ -183,7 +183,7 @@ SQL = {
     "json_docs_repeated": _array("""'{"kind":"' || event_type || '","third":' || (event_id % 3) || '}'"""),
     "search_docs": f"""SELECT doc_id % 20 AS doc_id, string_agg('docs/' || doc_id || '.txt:' || (line_no + 1) || ':' || line, chr(10) ORDER BY line_no, doc_id) AS text FROM ({_LINES}) GROUP BY doc_id % 20""",
     "numbered_docs": f"""SELECT doc_id, string_agg((line_no + 1 + CASE WHEN doc_id % 3 = 0 AND line_no >= 2 THEN 1 ELSE 0 END) || chr(9) || line, chr(10) ORDER BY line_no) AS text FROM ({_LINES}) GROUP BY doc_id""",
-    "blob_docs": """SELECT doc_id, left(text, 200) || ' ' || repeat('QUJD', CAST(100 + doc_id % 100 AS INT)) || '= ' || CASE WHEN doc_id % 5 = 0 THEN 'data:image/png;base64,' || repeat('QUJD', 6) || '==' ELSE '' END || ' end' AS text FROM documents""",
+    "blob_docs": """SELECT doc_id, text || ' ' || repeat('QUJD', CAST(100 + doc_id % 100 AS INT)) || '= ' || CASE WHEN doc_id % 5 = 0 THEN 'data:image/png;base64,' || repeat('QUJD', 6) || '==' ELSE '' END || ' end' AS text FROM documents""",
     "run_docs": f"""SELECT doc_id, string_agg(rtrim(repeat(line || chr(10), CAST(line_no % 9 + 1 AS INT)), chr(10)) || CASE WHEN line = '' THEN repeat(chr(10), CAST(line_no % 9 AS INT)) ELSE '' END, chr(10) ORDER BY line_no) AS text FROM ({_LINES}) GROUP BY doc_id""",
     "diff_docs": """SELECT d AS doc_id, string_agg('diff --git a/f' || f || ' b/f' || f || chr(10) || '--- a/f' || f || chr(10) || '+++ b/f' || f || chr(10) || h, chr(10) ORDER BY f) AS text FROM (
       SELECT p_partkey % 4 AS d, p_size % 30 AS f, string_agg('@@ -' || p_partkey || ',4 +' || p_partkey || ',4 @@' || chr(10) || ' ctx a' || chr(10) || ' ctx b' || chr(10) || '-' || p_name || chr(10) || '+' || p_type || CASE WHEN p_partkey % 7 = 0 THEN ' fixme' ELSE '' END || chr(10) || ' ctx c', chr(10) ORDER BY p_partkey) AS h

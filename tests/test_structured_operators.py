@@ -330,6 +330,21 @@ def test_router(spark):
         compress(spark.createDataFrame([("a", "")], "name string, text string"), "name", level_name="wild")
 
 
+def test_escaped_names_of_items_are_read(spark):
+    use = json.dumps({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "a", "name": "Read", "input": {"file_path": "f"}}]}})
+    rows = [("s", 0, use), ("s", 1, use.replace("tool_use", "tool\\u005fuse").replace('"a"', '"b"'))]
+    got = sessions.session_items(spark.createDataFrame(rows, "session string, line_index int, line string")).orderBy("item_no").collect()
+    assert [r.id for r in got] == ["a", "b"]
+
+
+def test_package_surface():
+    import corpusloom
+
+    assert all(callable(getattr(corpusloom, n)) or n == "LEVELS" for n in corpusloom.__all__)
+    with pytest.raises(AttributeError):
+        corpusloom.nothing
+
+
 def test_levels():
     assert level("conservative").diff.max_files == 40 and level("aggressive").log.max_total_lines == 50 and level("default").json == JsonLimits()
 
@@ -350,6 +365,10 @@ def test_sources_and_sinks(spark, tmp_path):
     io.write_texts(results, str(tmp_path / "out"))
     io.write_contract(results, str(tmp_path / "contract"))
     assert json.loads(spark.read.text(str(tmp_path / "contract")).first().value)["compressed"] == "a\nb\n"
+    named = compress(spark.createDataFrame([('x"}', "a\nb"), (None, "c")], "id string, text string"), "id", "text")
+    io.write_batch(named, str(tmp_path / "batch"))
+    said = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "batch")).collect()]
+    assert {(r.get("id"), r["compressed"]) for r in said} == {('x"}', "a\nb\n"), (None, "c")} and all(r["kind"] for r in said)
     io.write_transcript(spark.createDataFrame([("s", 1, "b"), ("s", 0, "a")], "session string, line_index int, line string"), str(tmp_path / "copy"))
     assert "a\nb\n" in [p.read_text() for p in (tmp_path / "copy" / "session=s").glob("*.txt")]
 
