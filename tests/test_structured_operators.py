@@ -368,7 +368,7 @@ def test_sources_and_sinks(spark, tmp_path):
     named = compress(spark.createDataFrame([('x"}', "a\nb"), (None, "c")], "id string, text string"), "id", "text")
     io.write_batch(named, str(tmp_path / "batch"))
     said = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "batch")).collect()]
-    assert {(r.get("id"), r["compressed"]) for r in said} == {('x"}', "a\nb\n"), (None, "c")} and all(r["kind"] for r in said)
+    assert {(r.get("id"), r["compressed"]) for r in said} == {('x"}', "a\nb\n"), (None, "c\n")} and all(r["kind"] for r in said)
     io.write_transcript(spark.createDataFrame([("s", 1, "b"), ("s", 0, "a")], "session string, line_index int, line string"), str(tmp_path / "copy"))
     assert "a\nb\n" in [p.read_text() for p in (tmp_path / "copy" / "session=s").glob("*.txt")]
 
