@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bits of the bitmap that `sift` broadcasts, at most.
+SIFT_BITS = 1 << 27
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +91,28 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
+def sift(rows: DataFrame, key: str, ids: DataFrame, absent: bool = False) -> DataFrame:
+    """`rows` whose `key` (a long) may be among the values of the only column of `ids`; with `absent` the others, which surely are not.
+
+    It spares a join with `ids` the shuffle of most rows without a partner; a null key is absent. A bitmap of hashes is
+    broadcast, 16 to 32 bits a value and never more than SIFT_BITS (16 MB) in all: beyond SIFT_BITS / 16 values more rows
+    may be let through, in the end all, but never fewer.
+    """
+    bits = min(SIFT_BITS, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+
+    def place(name):
+        return F.pmod(F.xxhash64(F.col(f"`{name}`").cast("long")), F.lit(bits))
+
+    (value,) = ids.columns
+    seen = ids.where(F.col(f"`{value}`").isNotNull()).select(place(value).alias("at"))
+    seen = seen.select(F.shiftright("at", 15).alias("__block"), F.col("at").bitwiseAND(32767).alias("bit"))
+    bitmap = seen.groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    at = place(key)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10)
+    found = (F.shiftright(at, 15) == F.col("__block")) & (F.getbit(byte.cast("long"), at.bitwiseAND(7).cast("int")) == 1)
+    return rows.join(F.broadcast(bitmap), F.col(f"`{key}`").isNotNull() & found, "left_anti" if absent else "left_semi")
+
+
 def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str, tie: str | None = None) -> DataFrame:
     """0-based rank of each row inside its group, by (bucket, order), as the column `out`; `tie`: the place among rows of equal order, from 0.
 

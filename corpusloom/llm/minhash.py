@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import components, materialize, release
+from corpusloom.llm.common import components, materialize, release, sift
 
 SHINGLE = 5
 CHUNKS, WIDTH = 11, 6
@@ -271,6 +271,8 @@ def dealt(pairs: DataFrame) -> DataFrame:
 
 def within(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The dealt `pairs` (a, salt, b) whose signatures (rep, sig) are within both distances."""
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    signatures = sift(signatures, "rep", materialize(ids, "ids"))
     leaders = pairs.select("a", "salt").distinct().join(signatures.toDF("a", "sa"), "a")
     return pairs.join(leaders, ["a", "salt"]).join(signatures.toDF("b", "sb"), "b").select("a", "salt", "b", "sa", "sb").mapInArrow(_within, "a long, salt int, b long")
 
@@ -279,11 +281,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the dealt `pairs` (a, salt, b) whose full shingle sets meet the threshold.
 
     A leader's text goes once to each of its salts, the members' texts beside it; so no leader, however
-    common, meets all its members in one task. Documents that are in no pair are left out first; all texts are fetched by one join.
+    common, meets all its members in one task. Most texts that are in no pair are left out before all others are fetched by one join.
     """
     none = F.lit(None).cast("long")
     wanted = pairs.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", none.alias("b")).unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id").distinct(), "id", "left_semi")
+    texts = sift(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted.select("id").distinct())
     rows = wanted.join(texts, "id").select("a", "salt", "b", "text")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
@@ -321,7 +323,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
     tiled = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.join(signatures, "rep").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "sig")
+    tiled = materialize(tiled, "tiles")
+    tiled = tiled.join(sift(signatures, "rep", tiled.select("rep").distinct()), "rep").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "sig")
     rest = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_cross, "a long, b long")
     rest = materialize(rest.distinct(), "pairs")
     pairs = materialize(dealt(rest), "pairs")  # so that the size of the join with the texts is known beforehand
