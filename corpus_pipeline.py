@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, release, settled
+from corpusloom.llm.common import materialize, release, settled, sift
 from corpusloom.llm.minhash import near_duplicates
 from corpusloom.llm.mixing import mixed_documents
 from corpusloom.llm.packing import packed_rows
@@ -39,7 +39,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = numbered.select("__row", F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     named = named.join(groups, F.col("__row") == F.col("__member")).groupBy("component_id")
     kept = named.agg(F.min(F.struct("unnamed", "doc_id", "__row"))["__row"].alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    gone = materialize(numbered.select("__row").join(kept, "__row", "left_anti"), "gone")
+    doubtful = sift(numbered, "__row", gone).join(gone, "__row", "left_anti")  # all others stay without a shuffle of their texts
+    return sift(numbered, "__row", gone, absent=True).unionByName(doubtful).drop("__row")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
