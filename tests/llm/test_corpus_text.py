@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from corpusloom.llm import licenses, minhash, mixing, packing, sharding, suffix_dedup, toxicity
+from corpusloom.llm import common, licenses, minhash, mixing, packing, sharding, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -597,6 +597,22 @@ def test_hot_leaders_and_tiles_lose_no_link(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("bits", [common.SIFT_BITS, 1 << 15])
+def test_sifting_loses_no_partner(spark, monkeypatch, bits):
+    """Every row with a partner passes, each row passes on one side only, and a filter that is not full holds most others back."""
+    monkeypatch.setattr(common, "SIFT_BITS", bits)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-3000, 9000)] + [(None, "n"), (7, "again")], "id long, text string")
+    for wanted in ([], [(None,)], [(i,) for i in range(0, 9000, 7)] + [(-1,), (-1,), (None,), (1 << 60,)]):
+        ids = spark.createDataFrame(wanted, "other long")
+        through = [tuple(r) for r in common.sift(rows, "id", ids).collect()]
+        held = [tuple(r) for r in common.sift(rows, "id", ids, absent=True).collect()]
+        known = {w for (w,) in wanted if w is not None}
+        assert sorted(map(repr, through + held)) == sorted(repr(tuple(r)) for r in rows.collect())
+        assert not [r for r in held if r[0] in known] and (None, "n") in held
+        assert len([r for r in through if r[0] not in known]) < 0.1 * 12000
+    assert (7, "again") in through and (7, "t7") in through
+
+
 def test_rows_that_share_a_doc_id_are_one_document(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(70))
     rows = [(1, a), (1, b), (5, a + " x"), (6, b + " x"), (7, a)]
