@@ -54,6 +54,22 @@ def test_nearest_over_many_tiles(spark, monkeypatch):
     test_nearest_is_exact(spark)
 
 
+def test_nearest_over_many_cells_and_portions(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_BYTES", 150, raising=False)  # three vectors
+    monkeypatch.setattr(ann, "ROW_BLOCK", 40)
+    test_nearest_is_exact(spark)
+
+
+def test_nearest_moves_queries_once_for_each_cell(spark, monkeypatch):
+    """As many copies as blocks of rows are more than any disk holds: 1.3 TB for 6 GB of vectors."""
+    monkeypatch.setattr(ann, "ROW_BLOCK", 1)
+    copies, sequence = [], ann.F.sequence
+    monkeypatch.setattr(ann.F, "sequence", lambda start, stop: copies.append(int(stop._jc.toString()) + 1) or sequence(start, stop))
+    rows = table(spark, vectors(300))
+    assert ann.nearest(rows.where("vec_id % 50 = 0"), rows).count() == 30
+    assert copies and max(copies) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_nearest_few_rows_and_empty(spark):
     rows = table(spark, vectors(3))
     got = ann.nearest(rows.where("vec_id = 0"), rows).collect()
