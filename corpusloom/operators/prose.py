@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ HASHES, DIM, SHINGLE = 128, 384, 5
 SAME_SLOTS = 103  # more than 0.8 of 128
 SIMILAR = np.float32(0.8)
 _BLOCK = 512
+#: Sentences that a kernel gives at a time, with their vectors some 3 MB.
+SENTENCES = 2048
 NARRATIVE = (
     r"(?iU)\b(I had|I remember|I once|I worked with|I saw|I met|there was a|there was an|she said|he said|they said|told me"
     r"|my (client|patient|daughter|son|friend|colleague)|years ago|one day|a client of mine)\b"
@@ -138,11 +141,16 @@ def cascade(pieces: list[str]) -> tuple[list[int], list[int], list[int]]:
     In order, a sentence that stays removes all later ones that share over 0.8 of its MinHash slots or whose
     vectors have a cosine over 0.8 with its own.
     """
+    return _cascade(pieces)[:3]
+
+
+def _cascade(pieces: list[str]) -> tuple[list[int], list[int], list[int], np.ndarray]:
+    """What `cascade` gives, and the vectors of the compared sentences that stay."""
     counts = [len(split_words(p)) for p in pieces]
     fit = [i for i, n in enumerate(counts) if MIN_WORDS <= n <= MAX_WORDS]
     others = [i for i, n in enumerate(counts) if not MIN_WORDS <= n <= MAX_WORDS]
     if not fit:
-        return [], others, []
+        return [], others, [], np.zeros((0, DIM), np.float32)
     texts = [pieces[i] for i in fit]
     sig, vec = minhashes(texts), byte_vectors(texts)
     alive, kept = np.ones(len(fit), bool), []
@@ -159,7 +167,7 @@ def cascade(pieces: list[str]) -> tuple[list[int], list[int], list[int]]:
                     alive[later[near[i - low, later - low]]] = False
                     later = later[alive[later]]
                     alive[later[(sig[later] == sig[i]).sum(1) >= SAME_SLOTS]] = False
-    return kept, others, [fit[i] for i in np.flatnonzero(~alive)]
+    return kept, others, [fit[i] for i in np.flatnonzero(~alive)], vec[alive]
 
 
 def cascade_text(pieces: list[str]) -> tuple[str, str, int, int]:
@@ -181,18 +189,45 @@ def cascade_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, cascade_kernel()(sentences(F.col(text))).alias("c")).select(key, "c.*")
 
 
-def kept_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", include_embedding: bool = False) -> DataFrame:
-    """key, place, sent_no, sentence, shape, embedding (null unless asked for, or not compared) of the sentences that stay."""
+def kept_batches(batches, include_embedding: bool = False, most: int = SENTENCES):
+    """Rows (key, place, sent_no, sentence, embedding), at most `most` in a batch, of the sentences that stay of rows (key, sentences)."""
+    for batch in batches:
+        owners, places, numbers, texts, vectors = [], [], [], [], []
+
+        def flush(keys=batch.column(0)):
+            ends = np.cumsum([0] + [0 if v is None else DIM for v in vectors])
+            there = [v for v in vectors if v is not None]
+            values = pa.array(np.concatenate(there) if there else np.zeros(0, np.float32), pa.float32())
+            embedding = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([v is None for v in vectors]))
+            columns = [keys.take(pa.array(owners, pa.int64())), pa.array(places, pa.int32()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), embedding]
+            for held in (owners, places, numbers, texts, vectors):
+                held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["key", "place", "sent_no", "sentence", "embedding"])
+
+        for i in range(batch.num_rows):
+            pieces = batch.column(1)[i].as_py() or []
+            kept, others, _, compared = _cascade(pieces)
+            for place, number in enumerate(kept + others):
+                owners.append(i)
+                places.append(place)
+                numbers.append(number)
+                texts.append(pieces[number])
+                vectors.append(compared[place] if include_embedding and place < len(kept) else None)
+                if len(owners) == most:
+                    yield flush()
+        if owners:
+            yield flush()
 
-    def run(pieces) -> list[tuple]:
-        pieces = list(pieces)
-        kept, others, _ = cascade(pieces)
-        rows = byte_vectors([pieces[i] for i in kept]).tolist() if include_embedding and kept else [None] * len(kept)
-        return [(i, pieces[i], v) for i, v in zip(kept, rows, strict=True)] + [(i, pieces[i], None) for i in others]
 
-    kernel = text_kernel(run, "array<struct<sent_no:int,sentence:string,embedding:array<float>>>")
-    rows = docs.select(key, F.posexplode(kernel(sentences(F.col(text)))).alias("place", "s")).select(key, "place", "s.*")
-    return sentence_shapes(rows).select(key, "place", "sent_no", "sentence", "shape", "embedding")
+def kept_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", include_embedding: bool = False) -> DataFrame:
+    """key, place, sent_no, sentence, shape, embedding (null unless asked for, or not compared) of the sentences that stay.
+
+    The kernel gives a row for each sentence, some thousand at a time, so no task holds the vectors of all its texts.
+    """
+    rows = docs.select(F.col(key).alias("key"), sentences(F.col(text)).alias("s"))
+    kind = rows.schema["key"].dataType.simpleString()
+    out = rows.mapInArrow(lambda batches: kept_batches(batches, include_embedding), f"key {kind}, place int, sent_no int, sentence string, embedding array<float>")
+    return sentence_shapes(out.withColumnRenamed("key", key)).select(key, "place", "sent_no", "sentence", "shape", "embedding")
 
 
 def word_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 300) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +287,23 @@ def test_digests_and_kept_sentences(spark):
     assert [(r.sent_no, r["shape"], r.embedding and len(r.embedding)) for r in kept] == [(0, "Concept", 384), (1, "Concept", None), (3, "Narrative", None)]
 
 
+def test_kept_sentences_come_in_bounded_batches(spark):
+    texts = [" ".join(f"Entry {d} {i} names {i * 7919 % 9973} {i * 104729 % 9967} {i * 31 % 9949} w{i} x{i * 3} y{i * 5}." for i in range(40)) for d in range(5)]
+    batch = pa.record_batch([pa.array(["a", "b", None, "c", "d"]), pa.array([t.split("  ") if i == 3 else [s + "." for s in t[:-1].split(". ")] for i, t in enumerate(texts)])], ["key", "s"])
+    got = list(prose.kept_batches([batch], True, most=7))
+    assert max(b.num_rows for b in got) == 7
+    rows = [r for b in got for r in b.to_pylist()]
+    want = []
+    for key, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        kept, others, _ = prose.cascade(pieces)
+        want += [(key, place, i, pieces[i], prose.byte_vector(pieces[i]).tolist() if i in kept else None) for place, i in enumerate(kept + others)]
+    assert [(r["key"], r["place"], r["sent_no"], r["sentence"]) for r in rows] == [w[:4] for w in want] and len(want) > 15
+    for r, w in zip(rows, want, strict=True):
+        assert (r["embedding"] is None) == (w[4] is None) and (w[4] is None or np.allclose(r["embedding"], w[4], atol=1e-6))
+    df = spark.createDataFrame([("a", texts[0]), (None, "One two. Three."), ("n", None), ("e", "")], "id string, text string")
+    assert prose.kept_sentences(df, "id", include_embedding=True).where("id is null").count() == 2 and prose.kept_sentences(df, "id").where("id in ('n', 'e') or embedding is not null").count() == 0
+
+
 def test_catalog_and_observation(spark):
     assert {r.name for r in catalog(spark).collect()} >= {"compress", "collapse_runs", "row_selection", "session_items"}
     rows, seen = observed(io.literal(spark, "ab", "c"), "stage", "text")
