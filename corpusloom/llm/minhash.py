@@ -10,9 +10,10 @@ probability below 3e-5; candidates beyond that are not worth reading their texts
 
 Texts of the same words in the same order are one class from the start, known by a cryptographic digest of them. A
 bucket of the index is resolved without listing its pairs: each member is first compared with the bucket's
-smallest id; only buckets that still hold several components list the pairs between components that are within
-the distance, in tiles of bounded size. Hashes only propose: links are confirmed on the full sets, whose shingles
-are told apart by their words themselves.
+smallest id; only buckets that still hold several components are searched for pairs between components that are
+within the distance, in tiles of bounded size. A tile gives a forest of these pairs, not all of them. The trees make
+clusters, whose texts meet in tiles and give a forest of their links. Hashes only propose: links are confirmed on the
+full sets, whose shingles are told apart by their words themselves.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ FAN = 256
 SPREAD = 256
 #: Rows of a bucket on each side of a tile.
 TILE = 2048
+#: Texts of a cluster on each side of a tile, and their shingles, on average.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Five numbers below this make one number below 2 ** 63.
 RADIX = 6208
 _MASK = (1 << 64) - 1
@@ -190,9 +193,10 @@ def _keys(batches):
 
 
 def _cross(batches):
-    """Pairs of different components in one bucket within the distance, each in its first common bucket only.
+    """A forest of the pairs of different components in one bucket within the distance, each pair in its first common bucket only.
 
-    Takes rows (key, i, j, block, comp, rep, sig) sorted by tile (key, i, j): rows of block i meet those of block j.
+    Takes rows (key, i, j, block, comp, rep, sig) sorted by tile (key, i, j): rows of block i meet those of block j. Of a tile's
+    pairs only those come out that join two trees, so fewer than it has rows; every rep that is in a pair is in a tree with its partners.
     """
     held: list[tuple] = []
     out: list[tuple[int, int]] = []
@@ -205,9 +209,10 @@ def _cross(batches):
         comp, rep = np.array([h[4] for h in held]), np.array([h[5] for h in held])
         sig = np.frombuffer(b"".join(h[6] for h in held), np.uint8).reshape(len(held), -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        tree = np.unique(rep, return_inverse=True)[1]
         for at, own in enumerate(left):
             others = right[at + 1 :] if i == j else right
-            others = others[comp[others] != comp[own]]
+            others = others[(comp[others] != comp[own]) & (tree[others] != tree[own])]
             if not len(others):
                 continue
             differ = sig[others] != sig[own]
@@ -220,7 +225,9 @@ def _cross(batches):
                 rows = np.arange(len(others))
                 first = chunk * WIDTH + np.where(errors[rows, chunk] == 1, differ[rows, chunk].argmax(1), 0)
                 for o in others[first == number]:
-                    out.append((min(rep[own], rep[o]), max(rep[own], rep[o])))
+                    if tree[o] != tree[own]:
+                        tree[tree == tree[o]] = tree[own]
+                        out.append((min(rep[own], rep[o]), max(rep[own], rep[o])))
                 if len(out) > 20000:
                     yield flush()
 
@@ -239,6 +246,54 @@ def _cross(batches):
     yield flush()
 
 
+def _linked(batches):
+    """A forest of the links between different components in one cluster, confirmed on the full sets.
+
+    Takes rows (cluster, i, j, block, comp, node, text) sorted by tile (cluster, i, j): texts of block i meet those of block j.
+    """
+    held: list[tuple] = []
+
+    def resolve():
+        i, j = held[0][1:3]
+        numbers: dict[bytes, int] = {}
+        texts = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(h[6])], np.int64) for h in held]
+        sets = [np.unique(x) for x in shingle_numbers(texts, len(numbers) + 1)]
+        size = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sets = np.split(ids, np.cumsum(size)[:-1])
+        seen = np.zeros(len(ids) + 1, bool)
+        block, node = np.array([h[3] for h in held]), [h[5] for h in held]
+        tree = np.unique([h[4] for h in held], return_inverse=True)[1]
+        left, right = np.flatnonzero((block == i) & (size > 0)), np.flatnonzero((block == j) & (size > 0))
+        a, b = [], []
+        for at, own in enumerate(left):
+            others = right[at + 1 :] if i == j else right
+            others = others[tree[others] != tree[own]]
+            few, many = np.minimum(size[others], size[own]), np.maximum(size[others], size[own])
+            others = others[100 * few >= PERCENT * many]
+            if not len(others):
+                continue
+            seen[sets[own]] = True
+            both = np.add.reduceat(seen[np.concatenate([sets[o] for o in others])], np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
+            seen[sets[own]] = False
+            for o in others[100 * both >= PERCENT * (size[others] + size[own] - both)]:
+                if tree[o] != tree[own]:
+                    tree[tree == tree[o]] = tree[own]
+                    a.append(node[own])
+                    b.append(node[o])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield resolve()
+                held.clear()
+            if not held or held[-1] != row:  # repeated rows
+                held.append(row)
+    if held:
+        yield resolve()
+
+
 def _confirm(batches):
     """Links among rows (leader, salt, member, text) sorted so that each leader's own texts (member null) come first."""
     own, key = None, None
@@ -290,6 +345,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
 
+def united(pairs: DataFrame, comps: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components (node, comp) of the `pairs`' documents as all links between documents of a cluster would.
+
+    A cluster is what the pairs connect. Its texts are dealt into blocks, and each two blocks meet in one task; sizes (node, size) are
+    shingles. A text is sent once for each block of its cluster, most once.
+    """
+    trees = components(pairs)
+    nodes = trees.unionByName(trees.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "cluster")
+    nodes = materialize(nodes, "clusters")
+    known = sift(sizes, "node", nodes.select("node"))
+    nodes = materialize(nodes.join(comps, "node").join(known, "node"), "clusters")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    nodes = materialize(nodes.join(nodes.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"), "clusters")  # so that the size of the join with the texts is known beforehand
+    texts = sift(docs.select(F.col("doc_id").alias("node"), "text"), "node", nodes.select("node"))
+    rows = nodes.join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node", "text"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "node", "text")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node", "text").mapInArrow(_linked, "a long, b long")
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fp (digest of the shingle set) and sig of each document; fp and sig are null for empty sets."""
     return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig binary")
@@ -323,13 +398,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
     tiled = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = materialize(tiled, "tiles")
-    tiled = tiled.join(sift(signatures, "rep", tiled.select("rep").distinct()), "rep").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "sig")
+    tiles = materialize(tiled, "tiles")
+    tiled = tiles.join(sift(signatures, "rep", tiles.select("rep").distinct()), "rep").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "sig")
     rest = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_cross, "a long, b long")
     rest = materialize(rest.distinct(), "pairs")
-    pairs = materialize(dealt(rest), "pairs")  # so that the size of the join with the texts is known beforehand
-    more = materialize(confirmed(pairs, unique), "links")
-    release(rest, pairs, shared)
+    sizes = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("size"))
+    more = materialize(united(rest, tiles.select(F.col("rep").alias("node"), "comp").distinct(), sizes, unique), "links")
+    release(rest, tiles, shared)
     found = components(links.unionByName(more))
     roots = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", label.alias("component_id"))
     joined = rows.join(roots, "fp", "left")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import common, licenses, minhash, mixing, packing, sharding, suffix_dedup, toxicity
@@ -597,6 +598,43 @@ def test_hot_leaders_and_tiles_lose_no_link(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def test_a_bucket_of_near_texts_gives_a_forest():
+    """Of n texts within the distance n - 1 pairs come out, not all; those of one component meet nobody of their own."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 256, minhash.SYMBOLS, np.uint8)
+    rows = []
+    for i in range(200):
+        sig = one.copy()
+        sig[minhash.WIDTH + rng.integers(0, minhash.INDEXED - minhash.WIDTH)] ^= 1  # the first chunk is whole
+        rows.append((0, 0, 0, 0, 1000 + i if i % 4 else 1000, 1000 + i, sig.tobytes()))
+    batch = pa.RecordBatch.from_pylist([dict(zip(["key", "i", "j", "block", "comp", "rep", "sig"], r, strict=True)) for r in rows])
+    pairs = [p for b in minhash._cross([batch]) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(pairs) == 199 and {x for p in pairs for x in p} == {r[5] for r in rows}
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_clusters_lose_no_link(spark, monkeypatch, block):
+    """Texts near their neighbours only, and many at the threshold, without a leader near all; ids with several texts and repeated rows among them."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TILE", 5)
+    rng = random.Random(17)
+    rows, base = [], [f"w{i}" for i in range(100)]
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            w[rng.randrange(100)] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(500 - i, " ".join(chain[5 * i : 5 * i + 130])) for i in range(40)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+    more = [*rows, (7, rows[100][1]), rows[3], rows[3], (498, "some other words here in a row")]
+    found = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(more, "doc_id long, text string")).collect()}
+    label = {k: c for k, _, c, _ in brute_components(rows)}
+    joined = {label[7], label[rows[100][0]]}
+    assert found == {(k, min(joined) if c in joined else c) for k, c in label.items()}
+
+
 @pytest.mark.parametrize("bits", [common.SIFT_BITS, 1 << 15])
 def test_sifting_loses_no_partner(spark, monkeypatch, bits):
     """Every row with a partner passes, each row passes on one side only, and a filter that is not full holds most others back."""
