@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WINDOW = 500
+#: Rows of a block of `pairs_over`, on average, and those of its products at a time; beyond what rounding moves a cosine.
+BLOCK, ROWS, MARGIN = 2048, 128, 1e-8
 SUMMARY_SHARE, SUMMARY_LEAST, SUMMARY_MOST, SUMMARY_FROM = 0.2, 3, 10, 4
 
 
@@ -86,9 +89,53 @@ def extractive_summary(rows: DataFrame, group: str, order: str, vector: str, win
     return best.where(F.col("rank") <= take).select(group, order, F.round("centrality", 6).alias("centrality"))
 
 
+def _tile_pairs(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places p, q and similarities of the pairs of a tile (i, j, block, v) that may reach the threshold, and of those that are no number.
+
+    A matrix product leaves out what is surely below; the others' sums are made in the order of the components.
+    """
+    v, block = table.column("v").combine_chunks(), table.column("block").to_numpy()
+    x = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(v), -1) if len(v.flatten()) else np.zeros((len(v), 0))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    with np.errstate(all="ignore"):
+        norm = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            norm += x[:, k] * x[:, k]
+        norm = np.sqrt(norm)[:, None]
+        x = np.where(~(norm <= 0), x / norm, 0.0)
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at in range(0, len(left), ROWS):
+            near = ~(x[left[at : at + ROWS]] @ x[right].T < threshold - MARGIN)
+            if i == j:
+                near &= np.arange(len(right))[None] > np.arange(at, at + len(near))[:, None]
+            p, q = np.nonzero(near)
+            p, q = left[at + p], right[q]
+            sums = np.zeros(len(p))
+            for k in range(x.shape[1]):
+                sums += x[p, k] * x[q, k]
+            out.append((p, q, sums))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def pairs_over(rows: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """group, a, b, similarity of the pairs of one group (a before b) at or over a threshold."""
-    left = rows.select(F.col(group), F.col(order).alias("a"), unit(F.col(vector)).alias("va"))
-    right = rows.select(F.col(group).alias("__g"), F.col(order).alias("b"), unit(F.col(vector)).alias("vb"))
-    both = left.join(right, (F.col(group) == F.col("__g")) & (F.col("a") < F.col("b"))).withColumn("similarity", _dot(F.col("va"), F.col("vb")))
-    return both.where(F.round("similarity", 9) >= threshold).select(group, "a", "b", F.round("similarity", 6).alias("similarity"))
+    """group, a, b, similarity of the pairs of one group (a before b) at or over a threshold.
+
+    The rows of a group are dealt into blocks, and each two blocks meet in one task; rows without a group or with null components are in no pair.
+    """
+    v = F.col(vector)
+    used = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), v.alias("v"), F.size(v).alias("dim")).where(F.col("g").isNotNull() & F.col("o").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    blocks = used.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = used.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("o", "v"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "o", "v")
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+
+    def meet(key, table):
+        p, q, sums = _tile_pairs(table, threshold)
+        o = table.column("o").combine_chunks()
+        return pa.table([pa.repeat(key[0], len(p)), o.take(pa.array(p)), o.take(pa.array(q)), pa.array(sums, from_pandas=False)], ["g", "x", "y", "similarity"])
+
+    both = dealt.groupBy("g", "dim", "i", "j").applyInArrow(meet, f"g {kinds['g']}, x {kinds['o']}, y {kinds['o']}, similarity double")
+    both = both.where((F.col("x") != F.col("y")) & (F.round("similarity", 9) >= threshold))
+    return both.select(F.col("g").alias(group), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("similarity", 6).alias("similarity"))

@@ -304,6 +304,23 @@ def test_kept_sentences_come_in_bounded_batches(spark):
     assert prose.kept_sentences(df, "id", include_embedding=True).where("id is null").count() == 2 and prose.kept_sentences(df, "id").where("id in ('n', 'e') or embedding is not null").count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_pairs_over_in_blocks(spark, monkeypatch, block):
+    """All pairs of a group, as compared one by one in the engine; no join of rows with rows."""
+    monkeypatch.setattr(semantic, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(rng.choice(["x", "y", None]), rng.randrange(100), [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for _ in range(120)]
+    rows += [("x", 200, None), ("x", 201, [1.0, None, 0.0, 0.0]), ("x", 202, [1.0, 0.0]), ("x", 203, [2.0, 0.0]), ("x", 204, [0.0] * 4), ("y", 205, [float("nan"), 1.0, 0.0, 0.0]), ("y", None, [1.0] * 4), ("y", 206, [])]
+    df = spark.createDataFrame(rows, "g string, o int, v array<float>")
+    made = semantic.pairs_over(df, "g", "o", "v", 0.3)
+    assert made.columns == ["g", "a", "b", "similarity"]
+    left, right = (df.select(F.col("g").alias(f"g{n}"), F.col("o").alias(n), semantic.unit(F.col("v")).alias(f"v{n}")) for n in "ab")
+    each = left.join(right, F.expr("ga = gb and a < b")).withColumn("s", semantic._dot(F.col("va"), F.col("vb"))).where(F.round("s", 9) >= 0.3)
+    want = each.select("ga", "a", "b", F.round("s", 6)).collect()
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, map(tuple, want))) and len(want) > 300
+    assert "zip_with" not in made._jdf.queryExecution().optimizedPlan().toString()  # products row by row took most of the time
+
+
 def test_catalog_and_observation(spark):
     assert {r.name for r in catalog(spark).collect()} >= {"compress", "collapse_runs", "row_selection", "session_items"}
     rows, seen = observed(io.literal(spark, "ab", "c"), "stage", "text")
