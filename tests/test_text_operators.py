@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions.kernels import split_lines
 from corpusloom.operators import detect, diffs, line_runs, logs, pixel, prepass, prose, search
+from corpusloom.plans import router
 from corpusloom.plans.levels import DiffLimits, LogLimits
 from corpusloom.sources.io import literal
 
@@ -149,6 +150,17 @@ def test_logs_match_a_scan(spark, limits):
         assert r.compressed == scalar_log(r.text, limits), r.text
 
 
+def test_no_copies_of_long_texts_are_carried(spark):
+    """Lines stay inside one expression, and the router keeps a text given to it only where it may have to give it back."""
+    df = spark.createDataFrame([(1, "a:1:x\nb:2:y\na:3:z")], "doc_id long, text string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for made in (search.compress_search(df), line_runs.collapse_runs(df), prepass.strip_line_numbers(df), detect.detect(df)):
+        assert "AS __lines" not in plan(made) and "AS __begins" not in plan(made)
+    assert "__text0" not in plan(router.compress(df)) and "__text0" in plan(router.compress(df, never_grow=True))
+    got = router.compress(df).first()
+    assert (got.kind, got.compressed, got.chars_before, got.lines_before, got.lines_after) == ("SearchResults", "a:1:x\na:3:z\nb:2:y", 17, 3, 3)
+
+
 def test_search(spark):
     text = "\n".join(f"a.rs:{i}: hit" for i in range(8)) + "\nnot a match\nb.rs:1: x\na.rs:99: y"
     got = one(spark, search.compress_search, text, "compressed", "lines_before", "lines_after")
