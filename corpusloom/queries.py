@@ -20,6 +20,7 @@ from corpusloom.operators.search import compress_search
 from corpusloom.plans.catalog import catalog
 from corpusloom.plans.digest import digests
 from corpusloom.plans.levels import LEVELS
+from corpusloom.plans.line_router import compress_lines
 from corpusloom.plans.router import compress
 from corpusloom.sources import views as V
 
@@ -533,7 +534,8 @@ def route_views(spark, sf_dir):
 @query(with_views(
     "SELECT doc_id, compressed, 'SearchResults' AS kind, 'search' AS source, strlen(text) AS chars_before FROM search_docs JOIN (" + ORACLES["search_compress"].split(") SELECT doc_id, string_agg(shown", 1)[0].replace("WITH search_docs AS", "WITH ignored AS", 0) + ") SELECT doc_id, string_agg(shown" + ORACLES["search_compress"].split(") SELECT doc_id, string_agg(shown", 1)[1] + ") o USING (doc_id)", "search_docs"))
 def route_search(spark, sf_dir):
-    return compress(V.search_docs(spark, sf_dir)).select("doc_id", "compressed", "kind", "source", "chars_before")
+    rows = V.search_lines(spark, sf_dir)
+    return compress_lines(rows, "folder", ["line_no", "doc_id"]).select(F.col("folder").alias("doc_id"), "compressed", "kind", "source", "chars_before")
 
 
 @query()

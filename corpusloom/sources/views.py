@@ -75,10 +75,14 @@ def document_lines(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def search_docs(spark, sf_dir) -> DataFrame:
-    rows = document_lines(spark, sf_dir).withColumn("folder", F.col("doc_id") % 20)
+def search_lines(spark, sf_dir) -> DataFrame:
+    """folder, line_no, doc_id, line: the lines of `search_docs`, before they are joined."""
     piece = F.concat(F.lit("docs/"), _text("doc_id"), F.lit(".txt:"), _text(F.col("line_no") + 1), F.lit(":"), "line")
-    return joined(rows, "folder", ["line_no", "doc_id"], piece, "\n")
+    return document_lines(spark, sf_dir).select((F.col("doc_id") % 20).alias("folder"), "line_no", "doc_id", piece.alias("line"))
+
+
+def search_docs(spark, sf_dir) -> DataFrame:
+    return joined(search_lines(spark, sf_dir), "folder", ["line_no", "doc_id"], F.col("line"), "\n")
 
 
 def numbered_docs(spark, sf_dir) -> DataFrame:

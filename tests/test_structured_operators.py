@@ -16,6 +16,7 @@ from corpusloom.operators.doctor import age_text, doctor, exit_code
 from corpusloom.plans.catalog import catalog, observed
 from corpusloom.plans.digest import digests
 from corpusloom.plans.levels import FactLimits, JsonLimits, level
+from corpusloom.plans.line_router import compress_lines
 from corpusloom.plans.router import compress, contract_json
 from corpusloom.sources import io
 from corpusloom.streaming import streams
@@ -365,6 +366,38 @@ def test_router(spark):
         compress(spark.createDataFrame([("a", "")], "name string, text string"), "name", level_name="wild")
 
 
+
+
+def _as_lines(spark, texts: dict):
+    """name, n, line: the texts' lines out of order, and a null line that is in no text."""
+    rows = [(name, n, line) for name, t in texts.items() for n, line in enumerate(t.split("\n"))]
+    return spark.createDataFrame([*rows[::-1], ("search", 3, None)], "name string, n int, line string")
+
+
+def test_lines_in_rows_are_routed_as_their_text(spark):
+    hits = [f"src/{'abc'[i % 3]}.py:{i}:say {i}" for i in range(30)]
+    blob, uri = "QUJD" * 150, "data:image/png;base64," + "QUJD" * 9
+    hunks = [f"@@ -{i},4 +{i},4 @@\n ctx a\n ctx b\n-old {i}\n+new {i}{' fixme' if i % 7 == 0 else ''}\n ctx c" for i in range(90)]
+    patch = "diff --git a/f b/f\n--- a/f\n+++ b/f\n" + "\n".join(hunks)
+    texts = {
+        "search": "\n".join(hits), "ends": "\n".join([*hits, ""]), "two ends": "\n".join([*hits, "", ""]), "crlf": "\r\n".join([*hits, ""]), "last cr": "\n".join(hits) + "\r", "mixed": "\n".join([*hits[:9], "", "no match", "a b:1: no match", *hits[9:]]),
+        "blob": "\n".join([*hits, "src/d.py:1:" + blob, "src/d.py:2:" + uri + "== end"]), "over lines": "\n".join([*hits, "src/d.py:3:" + uri, "AAAA/x.py:1:more", *hits]), "begins with blob": "\n".join([uri + "=", *hits]),
+        "bracket": "\n".join(["", "[x:1:y", *hits]), "half": "a:1:b\nc", "less": "a:1:b\nc\nd", "json": '\n [1,\n2]', "numbered": "\n".join(f"{i + 1}\tsrc/a.py:{i}:x" for i in range(9)), "numbered end": "".join(f"{i + 1}\tx\n" for i in range(9)),
+        "diff": patch, "diff ends": patch.replace("\n", "\r\n") + "\r\n", "small diff": patch[:300], "marks": "\n".join(["--- a/x", "@@ -1 +1", *(["-a", "+b"] * 900)]), "blob diff": "\n".join([patch, "+" + blob]),
+        "log": "\n".join(f"{'ERROR' if i % 50 == 0 else 'INFO'}: line {i}" for i in range(300)), "prose": "One thing is said. " * 200, "one": "a:1:b", "empty": "", "blank": "\n \n",
+    }
+    want = compress(spark.createDataFrame(list(texts.items()), "name string, text string"), "name")
+    got = compress_lines(_as_lines(spark, texts), "name", ["n"], "line", spark.createDataFrame([("more", hits[0])], "name string, text string"))
+    assert got.dtypes == want.dtypes
+    got, want = ({r["name"]: r.asDict() for r in rows.collect()} for rows in (got, want))
+    more = got.pop("more")
+    assert (more["compressed"], more["kind"]) == (hits[0], "SearchResults") and sorted(got) == sorted(want)
+    for name, row in want.items():
+        assert got[name] == row, name
+    assert {want[n]["kind"] for n in ("search", "crlf", "mixed", "blob", "over lines", "half")} == {"SearchResults"} and want["over lines"]["base64_blobs_removed"] == 1
+    keyless = spark.createDataFrame([(None, 1, None), ("k", None, "x:2:b"), ("k", 1, "x:1:a")], "name string, n int, line string")
+    assert sorted((r["name"] or "", r.compressed) for r in compress_lines(keyless, "name", ["n"]).collect()) == [("", ""), ("k", "x:2:b\nx:1:a")]
+
 def test_escaped_names_of_items_are_read(spark):
     use = json.dumps({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "a", "name": "Read", "input": {"file_path": "f"}}]}})
     rows = [("s", 0, use), ("s", 1, use.replace("tool_use", "tool\\u005fuse").replace('"a"', '"b"'))]
