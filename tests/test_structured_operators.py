@@ -19,6 +19,7 @@ from corpusloom.plans.levels import FactLimits, JsonLimits, level
 from corpusloom.plans.line_router import compress_lines
 from corpusloom.plans.router import compress, contract_json
 from corpusloom.sources import io
+from corpusloom.sources import views as V
 from corpusloom.streaming import streams
 
 # ---- strict JSON
@@ -398,6 +399,18 @@ def test_lines_in_rows_are_routed_as_their_text(spark):
     keyless = spark.createDataFrame([(None, 1, None), ("k", None, "x:2:b"), ("k", 1, "x:1:a")], "name string, n int, line string")
     assert sorted((r["name"] or "", r.compressed) for r in compress_lines(keyless, "name", ["n"]).collect()) == [("", ""), ("k", "x:2:b\nx:1:a")]
 
+def test_long_views_as_lines_are_their_texts(spark, tmp_path):
+    parts = [(i, None if i % 11 == 0 else f"name {i}\nx" if i % 13 == 0 else f"name {i}", "TYPE", None if i == 7 else i % 3 + 30 * (i % 2)) for i in range(60)]
+    parts += [(6, "b", "TYPE", 5), (6, "a", "TYPE", 5), (10, None, "TYPE", 8), (None, "c", "TYPE", 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, None if i == 3 else f"one {i}\n\ntwo\r\nthree") for i in range(25)] + [(None, "lost")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for view, docs, lines, key, order in (("diff", V.diff_docs, V.diff_lines, "d", ["f", "hunk_no", "line_no"]), ("search", V.search_docs, V.search_lines, "folder", ["line_no", "doc_id"])):
+        want = {r.doc_id: r.text for r in docs(spark, str(tmp_path)).collect()}
+        assert {r.doc_id: r.text for r in V.joined(lines(spark, str(tmp_path)), key, order, F.col("line"), "\n").collect()} == want
+        got = V.long_view_lines(spark, str(tmp_path)).where(F.col("view") == view)
+        assert {r.doc_id: r.text for r in V.joined(got, "doc_id", ["a", "b", "c"], F.col("line"), "\n").collect()} == want and None in want
+
+
 def test_escaped_names_of_items_are_read(spark):
     use = json.dumps({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "a", "name": "Read", "input": {"file_path": "f"}}]}})
     rows = [("s", 0, use), ("s", 1, use.replace("tool_use", "tool\\u005fuse").replace('"a"', '"b"'))]
